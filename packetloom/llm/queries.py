@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import containers, tokenizer
+from packetloom.llm import chunking, containers, conversations, tokenizer
 from packetloom.runtime import cut, read_table
 
 
@@ -13,6 +13,28 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", "text")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, broken = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"))
+    return broken.select("tbl", "conv_id")
+
+
+def p1_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    messages, _ = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"))
+    return conversations.with_results(messages)
+
+
+_EVENT = ["session_id", "event_id"]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)
+    return pieces.filter("range_no = 0 and piece_in_range = 0").select(*_EVENT)
+
+
+def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.numbered(cut(chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)), _EVENT)
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(_documents(spark, sf))
 
@@ -25,5 +47,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_containers(spark, sf).filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p8_found)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p7_ids, p8_containers, p8_found)}
+ORACLE: dict[str, str] = {
+    "p2_found": "SELECT DISTINCT session_id, event_id FROM trace_events WHERE length(text) // 4 > 1024",
+}

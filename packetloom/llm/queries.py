@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chunking, containers, conversations, tokenizer
+from packetloom.llm import chunking, containers, conversations, secrets, tokenizer
 from packetloom.runtime import cut, read_table
 
 
@@ -35,6 +35,19 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.numbered(cut(chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)), _EVENT)
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.recorded_texts(read_table(spark, sf, "trace_events"), read_table(spark, sf, "oh_rows"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    spans = secrets.secret_spans(_texts(spark, sf)).filter("first_in_line")
+    return spans.select("tbl", "conv_id", "rec_id", "line_no").distinct()
+
+
+def p4_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.redact(_texts(spark, sf).dropDuplicates(["tbl", "conv_id", "rec_id"]))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.encode_texts(_documents(spark, sf))
 
@@ -47,7 +60,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_containers(spark, sf).filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p7_ids, p8_containers, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p4_masked, p7_ids, p8_containers, p8_found)}
 ORACLE: dict[str, str] = {
     "p2_found": "SELECT DISTINCT session_id, event_id FROM trace_events WHERE length(text) // 4 > 1024",
 }

@@ -65,6 +65,10 @@ Le client {name} habite {address} et paie
 证件 {id} 出现在日志里
 Contact: {email}
 contact {name} at {phone}
+- [x] {name} confirmed the fix
+- [ ] ask {name} about the @w
+@@ address of record: {address}
+address of record: {address}
 Teléfono de contacto: {phone}
 Hi, this is {name} from billing; reach me on {phone} or {email}.
 my number is {phone}, and I live at {address}
@@ -260,7 +264,7 @@ KINDS_OF_STREET = ("Street", "Lane", "Road", "St.", "Ave.", "Court", "Mews", "Av
 TOWNS = ("Ostermoor", "Bracksea", "Nether Hollin", "Tolverton", "Quernham", "Valmère", "Villarroa", "Upper Wending")
 
 GIVEN = ("Arlo", "Benita", "Cedric", "Dorothea", "Elif", "Farid", "Greta", "Hugo", "Inés", "Jonas", "Katya", "Léonie", "Marek", "Noémie", "Otto", "Paula", "Ravi", "Selma", "Tomás", "Ute")
-FAMILY = ("Abernal", "Brookvane", "Castelmar", "Dunwick", "Eskelund", "Farrowby", "Grunholt", "Hartenshaw", "Iverlund", "Jastrow", "Kestermann", "Lundgrave", "Montvert", "Nordquill", "Oakenshaw", "Pelletrin", "Rosenfeldt", "Sturmholt", "Thornmarek", "Vandermoor", "von Adlerhof", "de la Roche", "O'Harrowen", "Smith-Vane")
+FAMILY = ("Abernal", "Brookvane", "Castelmar", "Dunwick", "Eskelund", "Farrowby", "Grunholt", "Hartenshaw", "Iverlund", "Jastrow", "Kestermann", "Lundgrave", "Montvert", "Nordquill", "Oakenshaw", "Pelletrin", "Rosenfeldt", "Sturmholt", "Thornmarek", "Vandermoor", "von Adlerhof", "de la Roche", "O'Harrowen", "Smith-Vane", "D'Astelle", "van Eskholt", "Thorn-Marrow", "d'Orvane")
 
 
 def _digits(text: str, r: random.Random) -> str:
@@ -275,9 +279,9 @@ def make_name(given: str, family: str, r: random.Random) -> str:
         s = f"{given} {r.choice('ABLM')}. {family}"
     elif form < 0.74:
         s = f"{given[0]}. {family}"
-    elif form < 0.86:
+    elif form < 0.84:
         s = f"{family}, {given}"
-    elif form < 0.94:
+    elif form < 0.93:
         s = f"{given} {family}".lower()
     else:
         s = f"{given} {family}".upper()

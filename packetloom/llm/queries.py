@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import chunking, containers, conversations, secrets, tokenizer
+from packetloom.llm import chunking, containers, conversations, pii, secrets, tokenizer
 from packetloom.runtime import cut, read_table
 
 
@@ -60,7 +60,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return p8_containers(spark, sf).filter("piece_no = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p4_masked, p7_ids, p8_containers, p8_found)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    field = pii.field_for(read_table(spark, sf, "contributors"))
+    return pii.find_items(_documents(spark, sf), field).select("doc_id", "line_no", "pii_kind").distinct()
+
+
+def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.replace_items(_documents(spark, sf), pii.field_for(read_table(spark, sf, "contributors")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p4_masked, p7_ids, p8_containers, p8_found, p9_found, p9_masked)}
 ORACLE: dict[str, str] = {
     "p2_found": "SELECT DISTINCT session_id, event_id FROM trace_events WHERE length(text) // 4 > 1024",
 }

@@ -1,0 +1,30 @@
+"""What a session still has in its context, and what may be searched."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from packetloom.functions import text as T
+
+
+def in_context(ev: DataFrame) -> DataFrame:
+    """Events from the last summary of their session on; all where there is none."""
+    last = ev.filter("kind = 'summary'").groupBy("session_id").agg(F.max("pos").alias("cut"))
+    return ev.join(last, "session_id", "left").filter((F.col("cut").isNull()) | (F.col("pos") >= F.col("cut"))).drop("cut")
+
+
+def searchable(ev: DataFrame) -> DataFrame:
+    """Events outside the context that are no summaries and whose text (20 or more characters) is not in context."""
+    inside = in_context(ev)
+    out = ev.filter("kind <> 'summary'").join(inside.select("session_id", "event_id"), ["session_id", "event_id"], "left_anti")
+    norm = T.normalised(F.coalesce(F.col("text"), F.lit("")))
+    seen = inside.select("session_id", norm.alias("norm")).filter(F.length("norm") >= 20).distinct()
+    return out.withColumn("norm", norm).join(seen, ["session_id", "norm"], "left_anti").drop("norm")
+
+
+def trailing_reply(ev: DataFrame) -> DataFrame:
+    """The assistant events at the end of each session behind its last other event (summaries aside)."""
+    rest = ev.filter("kind <> 'summary'")
+    last = rest.filter("kind <> 'assistant'").groupBy("session_id").agg(F.max("pos").alias("stop"))
+    return rest.filter("kind = 'assistant'").join(last, "session_id", "left").filter(F.col("stop").isNull() | (F.col("pos") > F.col("stop"))).drop("stop")

@@ -119,6 +119,6 @@ def fill_containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPAC
     plan, _ = plan_best_fit(counts, capacity)
     before = parts.select("size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("base"))
     local = F.row_number().over(Window.partitionBy("size", "bucket").orderBy(key, "piece_no")) - 1
-    ranked = items.withColumn("local", local).join(F.broadcast(before), ["size", "bucket"])  # at most capacity * buckets rows
+    ranked = items.withColumn("local", local).join(before, ["size", "bucket"])  # partitioned alike for the window already
     ranked = ranked.select(key, "piece_no", "start", "size", (F.col("base") + F.col("local")).alias("rank"))
     return ranked.mapInArrow(_place(plan, key), f"`{key}` {kind}, piece_no int, start long, size long, container_id long, container_offset long")

@@ -14,7 +14,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    _, broken = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"))
+    _, broken = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"), texts=False)
     return broken.select("tbl", "conv_id")
 
 

@@ -128,7 +128,7 @@ def _forest_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if state[i] == 0:
             above = parent[i]
             depth[i] = weight[i] + (depth[above] if above >= 0 else 0)
-            if seg[i] is not None:
+            if seg[i] is not None and (above < 0 or path[above] is not None):  # none below a loop of one block
                 path[i] = (list(path[above]) if above >= 0 else []) + list(seg[i])
     first = d["end_state"].to_numpy()[top]
     yield pd.DataFrame({

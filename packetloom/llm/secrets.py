@@ -113,7 +113,7 @@ def hit_lines(text: str) -> list[tuple[int, int]]:
 
 def literal(value: str, strict: bool) -> bool:
     """Whether a value is a literal secret. ``strict``: the name alone proves little, so the value must look made up."""
-    v = value.strip()
+    v = value.strip().rstrip(")]}:;,")  # what closes the code around a bare value
     if len(v) < 6 or _REFERENCE.search(v) or _MASK.search(v) or _NUMBER.match(v) or _WORDISH.match(v):
         return False
     if len(set(v)) < 4 or " " in v:

@@ -65,7 +65,7 @@ _MYSQL = re.compile(_EDGE + r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n]*?\s-
 _OPTION = re.compile(r"(?i)--(?:[a-z]+-)*(?:token|password|secret|passwd|api-key|apikey|auth)[= ]\\?[\"']?(?P<value>[^\s\"'\\]+)")
 _XML = re.compile(r"(?i)<(?:\w+:)?(?:password|passwd|secret|token|api_?key)>(?P<value>[^<\s]+)</")
 _ATTRIBUTE = re.compile(r"(?i)key=\\?[\"'][\w.-]*(?:key|password|secret|token|pwd)\\?[\"']\s+value=\\?[\"'](?P<value>[^\"'\\]+)\\?[\"']")
-_LOGIN = re.compile(r"(?i)(?:^|\s)(?:password|passwd)\s+(?P<value>[^\s\"'=:(]\S{7,})\s*$")
+_LOGIN = re.compile(r"(?i)(?:^|\s)(?:password|passwd)\s+(?P<value>[^\s\"'=:(\\][^\s\"'\\]{7,})(?=\s*$|\\n)")
 
 _REFERENCE = re.compile(r"^\$|^%[A-Z_]+%$|\$\{|\{\{|^<|^![a-z]+$|^@|^env[.:(]|^os\.|^process\.|^vault[:/]|^ssm:|^arn:|^file:|^(?:~|\.{1,2})?(?:/[a-z][a-z0-9_.-]*){2,}/?$|\w\(|^[A-Z_]+\[|secretKeyRef|valueFrom", re.A)
 _MASK = re.compile(r"(?i)^[x*•.#_-]+$|^[\[(]?(?:redacted|masked|hidden|removed|filtered|scrubbed)|^[\[(]?(?:none|null|nil|undefined|true|false|empty|todo|tbd|fixme|change_?me|example|sample|dummy|placeholder|prompt|required|optional|bearer|basic|string|str|int|bool|bytes)[\])]?$|^(?:your|my|the|insert|enter)[ _-]|your[_-]|_here$|^replace[ _-]|<[^>]*>|^\.\.\.|^\W*$")

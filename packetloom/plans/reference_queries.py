@@ -375,3 +375,61 @@ def grep_lines(spark, sf):
     lines = docs.filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("low", F.lower("line"))
     hits = lines.crossJoin(F.broadcast(rare)).select("doc_id", (F.col("at") + 1).alias("line_no"), F.explode(F.filter("words", lambda x: F.contains(F.col("low"), x["term"]))).alias("h"))  # one row of at most two words a query
     return hits.groupBy(F.col("h.query_id").alias("query_id"), "doc_id", "line_no").agg(F.count("*").alias("n_words"))
+
+
+@query()
+def native_events(spark, sf):
+    """Typed events of the three native dialects."""
+    from packetloom.sources.normalize import events_of
+
+    parts = [events_of(read_table(spark, sf, t), d).withColumn("dialect", F.lit(d)) for t, d in (("claude_rows", "claude_code"), ("pi_rows", "pi"), ("oh_rows", "openhands"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"WITH {EV} SELECT a.session_id, a.event_id, b.event_id AS neighbour_id, CAST(b.pos - a.pos AS BIGINT) AS distance FROM ev a JOIN ev b ON a.session_id = b.session_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos WHERE a.kind = 'decision'")
+def neighbours(spark, sf):
+    """Events within two places of each decision: an equi join on exploded places instead of a range join."""
+    ev = cut(_ev(spark, sf).select("session_id", "event_id", "kind", "pos"))
+    near = ev.filter("kind = 'decision'").select("session_id", "event_id", F.col("pos").alias("at"), F.explode(F.expr("sequence(pos - 2, pos + 2)")).alias("pos")).filter("at <> pos")
+    return near.join(ev.select("session_id", "pos", F.col("event_id").alias("neighbour_id")), ["session_id", "pos"]).select("session_id", "event_id", "neighbour_id", (F.col("pos") - F.col("at")).alias("distance"))
+
+
+@query(f"""WITH {EV}, {RESULT_OF} SELECT s.session_id, s.event_id, coalesce(a.dst_id, b.src_id) AS paired_id FROM (SELECT * FROM ev WHERE kind IN ('tool_call', 'tool_result')) s
+ LEFT JOIN ro a ON a.session_id = s.session_id AND a.src_id = s.event_id LEFT JOIN ro b ON b.session_id = s.session_id AND b.dst_id = s.event_id WHERE coalesce(a.dst_id, b.src_id) IS NOT NULL""")
+def seed_pairs(spark, sf):
+    """Calls with their results and results with their calls."""
+    r = events.result_of(_ev(spark, sf)).select("session_id", "src_id", "dst_id")
+    return r.select("session_id", F.col("src_id").alias("event_id"), F.col("dst_id").alias("paired_id")).union(r.select("session_id", F.col("dst_id"), F.col("src_id")))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE kind IN ('user', 'decision') AND text IS NOT NULL)
+ SELECT session_id, event_id, unnest(list_distinct(regexp_extract_all(text, '`([^`\n]{2,60})`', 1))) AS reference FROM t""")
+def explicit_references(spark, sf):
+    """Quoted references in instructions and decisions."""
+    t = first_rows(read_table(spark, sf, "trace_events"), ["session_id", "event_id"]).filter("kind in ('user', 'decision') and text is not null")
+    return t.select("session_id", "event_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"`([^`\n]{2,60})`"), F.lit(1)))).alias("reference"))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE text IS NOT NULL), i AS (SELECT session_id, event_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+'), lambda v: length(v) BETWEEN 5 AND 40))) AS ident FROM t)
+ SELECT session_id, ident, count(*) AS df FROM i GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8""")
+def identifier_frequency(spark, sf):
+    """Identifiers that stand in 2 to 8 events of a session, with that number."""
+    t = first_rows(read_table(spark, sf, "trace_events"), ["session_id", "event_id"]).filter("text is not null")
+    ids = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"), F.lit(0)), lambda v: F.length(v).between(5, 40)))
+    return t.select("session_id", "event_id", F.explode(ids).alias("ident")).groupBy("session_id", "ident").agg(F.count("*").alias("df")).filter("df between 2 and 8")
+
+
+@query("""WITH d AS (SELECT lang, CAST(length(text) AS DOUBLE) AS x FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'fr', 'de', 'es', 'zh', 'ja'))
+ SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(x), 6) AS mean, CAST(quantile_disc(x, 0.5) AS BIGINT) AS p50 FROM d GROUP BY GROUPING SETS ((lang), ())""")
+def length_sets(spark, sf):
+    d = read_table(spark, sf, "documents").filter("text is not null and lang in ('en', 'fr', 'de', 'es', 'zh', 'ja')").select("lang", F.length("text").cast("double").alias("x"))
+    d.createOrReplaceTempView("length_sets_input")
+    return spark.sql("SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(x), 6) AS mean, cast(percentile_disc(0.5) within group (order by x) AS bigint) AS p50 FROM length_sets_input GROUP BY GROUPING SETS ((lang), ())")
+
+
+@query(f"WITH {EV}, {RESULT_OF}, d AS (SELECT session_id, src_id, dst_id FROM ro) SELECT e.session_id, e.kind, count(*) FILTER (WHERE o.src_id IS NULL) AS n_unpaired, count(*) AS n FROM ev e LEFT JOIN d o ON o.session_id = e.session_id AND o.src_id = e.event_id WHERE e.kind = 'tool_result' GROUP BY ALL")
+def unpaired_results(spark, sf):
+    """Round-trip audit: results that found no call."""
+    ev = cut(_ev(spark, sf))
+    e = ev.filter("kind = 'tool_result'").join(events.result_of(ev).select("session_id", F.col("src_id").alias("event_id"), F.lit(1).alias("hit")), ["session_id", "event_id"], "left")
+    return e.groupBy("session_id", "kind").agg(F.count_if(F.col("hit").isNull()).alias("n_unpaired"), F.count("*").alias("n"))

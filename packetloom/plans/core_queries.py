@@ -69,6 +69,13 @@ _P5_NODES = """n AS (SELECT tbl, session_id, id, (min({'pos': pos, 'parent': coa
  m AS (SELECT tbl, session_id, id, nullif(parent0, '') AS parent FROM n)"""
 
 ORACLE = {
+    "p5_found": f"""WITH RECURSIVE {_P5_NODES},
+ e AS (SELECT m.tbl, m.session_id, m.id, m.parent FROM m JOIN m u ON m.tbl=u.tbl AND m.session_id=u.session_id AND m.parent=u.id),
+ up AS (SELECT tbl, session_id, id, parent AS anc FROM e UNION SELECT up.tbl, up.session_id, up.id, e.parent FROM up JOIN e ON up.tbl=e.tbl AND up.session_id=e.session_id AND up.anc=e.id),
+ c AS (SELECT tbl, session_id, id FROM up WHERE id=anc)
+ SELECT tbl, session_id, id AS node_id, 'orphan' AS case_kind FROM m WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m u WHERE m.tbl=u.tbl AND m.session_id=u.session_id AND m.parent=u.id)
+ UNION ALL SELECT tbl, session_id, id, 'cycle' FROM c
+ UNION ALL SELECT DISTINCT up.tbl, up.session_id, up.id, 'below_cycle' FROM up JOIN c ON up.tbl=c.tbl AND up.session_id=c.session_id AND up.anc=c.id WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.tbl=up.tbl AND o.session_id=up.session_id AND o.id=up.id)""",
     "p5_descendants": f"""WITH RECURSIVE {_P5_NODES},
  tops AS (SELECT m.* FROM m LEFT JOIN m u ON m.tbl=u.tbl AND m.session_id=u.session_id AND m.parent=u.id WHERE u.id IS NULL),
  w AS (SELECT tbl, session_id, id, [id] AS path FROM tops UNION ALL

@@ -219,12 +219,56 @@ def rebuild(oh: DataFrame, pi: DataFrame, texts: bool = True) -> tuple[DataFrame
     rows = message_rows(oh, pi)
     messages = cut(ordered_messages(rows, texts))
     broken = broken_conversations(rows.select("tbl", "conv_id", "row_no"), messages)
+    broken = cut(broken) if texts else broken  # the messages of whole conversations are read several times
     return messages.join(broken, ["tbl", "conv_id"], "left_anti"), broken
 
 
+def answered_calls(messages: DataFrame) -> DataFrame:
+    """(tbl, conv_id, row_no, at, call_id, result_row, further_rows) of every call.
+
+    A result answers the oldest open call of its id (of the conversation, where no call or result has an id), else
+    the last call before it; a call that is left takes the next result of its id. Calls and results are numbered by
+    running counts per block, stitched over blocks, so that one id or one conversation may hold most of the rows.
+    """
+    conv, key = ["tbl", "conv_id"], ["tbl", "conv_id", "call_id"]
+    messages = cut(messages.filter("role = 'tool' or size(call_ids) > 0").select(*conv, "block", "row_no", "role", "call_ids", "result_id"))
+    calls = messages.select(*conv, "block", "row_no", F.posexplode("call_ids").alias("at", "call_id"), F.lit(1).alias("step"))
+    results = messages.filter("role = 'tool'").select(*conv, "block", "row_no", F.lit(-1).alias("at"), F.col("result_id").alias("call_id"), F.lit(-1).alias("step"))
+    moves = calls.unionByName(results)
+    with_ids = moves.groupBy(*conv).agg((F.count("call_id") > 0).alias("with_ids"))
+    # an id may be null only where all are: conversations with some are broken
+    moves = moves.join(with_ids, conv).filter("call_id is not null or not with_ids").drop("with_ids").withColumn("call_id", F.coalesce("call_id", F.lit("")))
+    run = Window.partitionBy(*key, "block").orderBy("row_no", "step", "at").rowsBetween(Window.unboundedPreceding, 0)
+    moves = moves.withColumn("run", F.sum("step").over(run)).withColumn("n_calls", F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(run)).withColumn("n_results", F.col("n_calls") - F.col("run"))
+    moves = cut(moves.withColumn("low", F.min("run").over(run)))
+    sums = moves.groupBy(*key, "block").agg(F.sum("step").alias("net"), F.min("run").alias("least"), F.max("n_calls").alias("c"), F.max("n_results").alias("r"))
+    before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0))).withColumn("c0", F.coalesce(F.sum("c").over(before), F.lit(0))).withColumn("r0", F.coalesce(F.sum("r").over(before), F.lit(0)))
+    sums = sums.withColumn("low0", F.least(F.lit(0), F.coalesce(F.min(F.col("base") + F.col("least")).over(before), F.lit(0)))).select(*key, "block", "base", "c0", "r0", "low0")
+    low = F.least("low0", F.col("base") + F.col("low"))
+    seen = cut(moves.join(sums, [*key, "block"]).select(*key, "row_no", "at", "step", (F.col("base") + F.col("run")).alias("run"), (F.col("c0") + F.col("n_calls")).alias("calls"), (F.col("r0") + F.col("n_results")).alias("results"), low.alias("low")))
+    # a result that finds no open call lowers the least sum by one and gets the number of the last call before it
+    taken = seen.filter("step = -1").select(*key, "results", "row_no", (F.col("results") + F.col("low")).alias("k"))
+    own = taken.groupBy(*key, "k").agg(F.array_sort(F.collect_list("row_no")).alias("rows"))
+    later = taken.select(*key, F.col("results").alias("next"), F.col("row_no").alias("next_row"))
+    asked = seen.filter("step = 1").select(*key, "row_no", "at", F.col("calls").alias("k"), (F.col("results") + 1).alias("next"))
+    pairs = asked.join(own, [*key, "k"], "left").join(later, [*key, "next"], "left")
+    return pairs.select(*conv, "row_no", "at", F.nullif("call_id", F.lit("")).alias("call_id"), F.coalesce(F.get("rows", F.lit(0)), "next_row").alias("result_row"), F.expr("slice(rows, 2, greatest(size(rows) - 1, 0))").alias("further_rows"))
+
+
 def with_results(messages: DataFrame) -> DataFrame:
-    """Ordered turns; every call carries its result: (tbl, conv_id, block, ord, role, text, calls array)."""
+    """Ordered turns; every call carries its result: (tbl, conv_id, block, ord, role, text, calls array).
+
+    ``further`` of a call holds the results that its id got besides the first.
+    """
     conv = ["tbl", "conv_id"]
-    res = messages.filter("role = 'tool' and result_id is not null").groupBy(*conv, F.col("result_id").alias("call_id")).agg(F.min(F.struct("row_no", "text")).alias("r"))
-    calls = messages.select(*conv, "row_no", F.posexplode("call_ids").alias("at", "call_id")).join(res, [*conv, "call_id"], "left").groupBy(*conv, "row_no").agg(F.sort_array(F.collect_list(F.struct("at", "call_id", F.col("r.row_no").alias("result_row"), F.col("r.text").alias("result")))).alias("calls"))
+    pairs = answered_calls(messages).select(*conv, "row_no", "at", "call_id", F.posexplode_outer(F.concat(F.array("result_row"), F.coalesce("further_rows", F.array().cast("array<bigint>")))).alias("nth", "result_row"))
+    texts = messages.filter("role = 'tool'").select(*conv, F.col("row_no").alias("result_row"), F.col("text").alias("result"))
+    pairs = pairs.join(texts, [*conv, "result_row"], "left")
+    first = F.col("nth") == 0
+    calls = pairs.groupBy(*conv, "row_no", "at").agg(
+        F.max("call_id").alias("call_id"), F.max(F.when(first, F.col("result_row"))).alias("result_row"), F.max(F.when(first, F.col("result"))).alias("result"),
+        F.array_sort(F.collect_list(F.when(~first, F.struct("result_row", "result")))).alias("further"),
+    )
+    calls = calls.groupBy(*conv, "row_no").agg(F.sort_array(F.collect_list(F.struct("at", "call_id", "result_row", "result", "further"))).alias("calls"))
     return messages.select(*conv, "block", "ord", "row_no", "rec_id", "role", "text", "on_loop").join(calls, [*conv, "row_no"], "left")

@@ -58,6 +58,48 @@ def test_conversations_pi_blocks_and_loops(spark):
     assert [c["result"] for x in turns if x["calls"] for c in x["calls"]] == ["[1] out"]
 
 
+def test_calls_without_or_with_repeated_ids_get_their_results(spark, monkeypatch):
+    def want(rows):  # a result answers the oldest open call of its id, else the last one; what is left takes the next result
+        open_, last, got, later = {}, {}, {}, []
+        for n, _, role, c, r in rows:
+            if role == "tool":
+                k = open_[r].pop(0) if open_.get(r) else last[r]
+                got.setdefault(k, []).append(n)
+                later.append((r, n))
+            for at, (i, *_) in enumerate(c or []):
+                open_.setdefault(i, []).append((n, at))
+                last[i] = (n, at)
+                got.setdefault((n, at), [])
+        for i, left in open_.items():
+            for k in left:
+                got[k] = [next(n for r, n in later if r == i and n > k[0])]
+        return got
+
+    user, end = (1, "q", "user", None, None), "done"
+    shapes = {  # C: a call, R: a result; a digit after it is its id
+        "no_ids": "CC R C R R CCC R R R", "again": "C1 R1 C1 R1", "two_open": "C1C2 C1 R1 R2 R1", "shared": "C1 C1 R1", "more": "C1 R1 R1 C1 R1 R1",
+    }
+    convs, wanted = {}, {}
+    for name, shape in shapes.items():
+        rows, n = [user], 1
+        for turn in shape.split():
+            n += 1
+            ids = [x[1:] or None for x in turn.replace("C", " C").replace("R", " R").split()]
+            rows.append((n, f"x{n}", "tool", None, ids[0]) if turn[0] == "R" else (n, "", "assistant", call(*ids), None))
+        rows.append((n + 1, end, "assistant", None, None))
+        convs[name], wanted[name] = [(a, role, x, r, c) for a, x, role, c, r in rows], want(rows)
+    for block in (4096, 3):
+        monkeypatch.setattr(conversations, "BLOCK", block)
+        messages, b = conversations.rebuild(oh(spark, convs), spark.createDataFrame([], PI))
+        assert b.count() == 0
+        got = {}
+        for x in conversations.with_results(messages).collect():
+            for c in x["calls"] or []:
+                got.setdefault(x["conv_id"], {})[x["row_no"], c["at"]] = [c["result_row"], *(f["result_row"] for f in c["further"])]
+                assert c["result"] == f"x{c['result_row']}" and all(f["result"] == f"x{f['result_row']}" for f in c["further"])
+        assert got == wanted
+
+
 def test_kahn_orders_by_rank_and_leaves_loops():
     order, loose = conversations.kahn([-1, 0, 0, 4, 3], [5, 2, 1, 0, 0])
     assert order == [0, 2, 1] and loose == {3, 4}

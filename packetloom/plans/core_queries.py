@@ -57,7 +57,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_tables(spark: SparkSession, sf: str) -> DataFrame:
-    return flatten.flatten_records(read_table(spark, sf, "claude_rows"))
+    return flatten.tables(read_table(spark, sf, "claude_rows"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p3_scripts, p5_found, p5_tree, p5_descendants, p6_found, p6_tables)}

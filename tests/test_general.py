@@ -85,6 +85,24 @@ def test_flatten_rows(spark):
     assert flatten.flatten_records(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_flatten_tables_lose_nothing(spark):
+    schema = "session_id string, line_no long, type string, subtype string, uuid string, parentUuid string, ts timestamp, isSidechain boolean, isMeta boolean, isCompactSummary boolean, role string, content string, toolUseResult string, compactMetadata struct<trigger:string,preTokens:bigint,preservedMessages:struct<uuids:array<string>>>, received_at timestamp"
+    blocks = [{"type": "thinking", "thinking": "h", "signature": "sig"}, {"type": "tool_result", "tool_use_id": "t", "content": "plain out"}, {"type": "tool_result", "content": [{"type": "image", "source": {"ref": "r1"}}]}, {"type": "text", "text": "x", "is_error": "maybe", "extra": 7}, "loose"]
+    done = {"stdout": "o1", "stderr": "e1", "numFiles": "3", "novel": 8, "structuredPatch": [{"oldStart": "5", "lines": ["+a"], "note": "n1"}], "results": ["stray", {"path": "p", "matches": ["m1"]}]}
+    base = ("user", None, "u", "v", None, False, True, None, "user")
+    rows = [("s", 1, *base, json.dumps(blocks), json.dumps(done), ("auto", 12, (["k"],)), None), ("s", 2, *base, "[1] just text", "plain result", None, None), ("s", 3, *base, None, None, None, None)]
+    d = flatten.tables(spark.createDataFrame(rows, schema)).collect()
+    by = {(r["row_key"]): json.loads(r["payload"]) for r in d}
+    assert {r["parent_key"] for r in d} - {None} <= set(by) and len(by) == len(d)
+    row = by["s:1"]
+    assert (row["trigger"], row["preTokens"], row["stdout"], row["stderr"], row["numFiles"], row["isMeta"], row["parentUuid"]) == ("auto", 12, "o1", "e1", 3, True, "v")
+    assert json.loads(row["rest"]) == {"content": {"4": "loose"}, "toolUseResult": {"results": {"0": "stray"}, "novel": 8}}
+    assert (by["s:2"]["content"], by["s:2"]["toolUseResult"], by["s:3"]["uuid"]) == ("[1] just text", "plain result", "u")
+    assert by["s:1:block:0"]["signature"] == "sig" and by["s:1:block:1"]["content"] == "plain out" and json.loads(by["s:1:part:2:0"]["source"]) == {"ref": "r1"}
+    assert json.loads(by["s:1:block:3"]["rest"]) == {"is_error": "maybe", "extra": 7} and by["s:1:hunk:0"]["oldStart"] == 5 and json.loads(by["s:1:hunk:0"]["rest"]) == {"note": "n1"}
+    assert json.loads(by["s:1:match:1:0"]["rest"]) == {"value": "m1"}
+
+
 def lines(spark, files):
     rows = [(p, f, n + 1, None, raw) for (p, f), raws in files.items() for n, raw in enumerate(raws)]
     return spark.createDataFrame(rows, "project_key string, file_no int, line_no long, received_at timestamp, raw string")

@@ -234,5 +234,57 @@ def resolve_hierarchy(nodes: DataFrame, paths: bool = True, block: int = BLOCK)
 
 
 def descendants(tree: DataFrame) -> DataFrame:
-    """All (ancestor, descendant, distance) pairs of a result with paths, for nodes outside loops."""
+    """All (ancestor, descendant, distance) pairs of a result with paths, for nodes neither on nor below loops
+    (``loop_descendants`` has the others)."""
     return tree.filter("path is not null").select("scope", F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "ancestor")).filter(F.col("at") < F.col("depth")).select("scope", "ancestor", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+def ring_ids(tree: DataFrame) -> DataFrame:
+    """(scope, id, ring) of the nodes on loops: the least id of the loop, by doubling along parents."""
+    cur = cut(tree.filter(F.col("state") == CYCLE).select("scope", "id", F.col("parent").alias("to"), F.col("id").alias("ring")))
+    while not cur.isEmpty():
+        ahead = cur.select("scope", F.col("id").alias("to"), F.col("to").alias("to2"), F.col("ring").alias("ring2"))
+        nxt = cut(cur.join(ahead, ["scope", "to"]).select("scope", "id", F.col("to2").alias("to"), F.least("ring", "ring2").alias("ring"), (F.col("ring2") < F.col("ring")).alias("moved")))
+        if nxt.filter("moved").isEmpty():  # nothing ahead is less anywhere, so the stretches seen cover their loops
+            break
+        cur = nxt.drop("moved")
+    return cur.select("scope", "id", "ring")
+
+
+def loop_trees(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """The nodes on and below loops as forests rooted in the loops' nodes; columns as of ``resolve_hierarchy``.
+
+    ``tree`` is the result for ``nodes``.
+    """
+    loose = tree.filter(F.col("state").isin(CYCLE, BELOW)).select("scope", "id", F.col("state").alias("loop_state"))
+    own = nodes.select("scope", "id", "parent", "pos").join(loose, ["scope", "id"])
+    return resolve_hierarchy(own.withColumn("parent", F.when(F.col("loop_state") == BELOW, F.col("parent"))))
+
+
+def loop_descendants(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """The pairs that ``descendants`` leaves out: below loops, and from a loop's node to all others that it reaches.
+
+    A loop's node is not counted as its own descendant.
+    """
+    forest = cut(loop_trees(nodes, tree))
+    ring = ring_ids(tree)
+    heads = ring.filter("id = ring").select("scope", "id", F.lit(True).alias("head"))
+    # each loop is cut at its least node; the depth below it gives the way from one of its nodes to another
+    loops = nodes.select("scope", "id", "parent", "pos").join(ring, ["scope", "id"]).join(heads, ["scope", "id"], "left")
+    at = resolve_hierarchy(loops.withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))), paths=False).select("scope", "id", "depth")
+    at = cut(at.join(ring, ["scope", "id"]))
+    n = at.groupBy("scope", "ring").agg(F.count("*").alias("n"))
+    low = at.select("scope", "ring", F.col("id").alias("root"), F.col("depth").alias("low"))
+    ways = at.join(low, ["scope", "ring"]).join(n, ["scope", "ring"]).filter("id <> root").select("scope", "root", F.col("id").alias("ancestor"), F.pmod(F.col("low") - F.col("depth"), F.col("n")).alias("way"))
+    around = forest.select("scope", "root", F.col("id").alias("descendant"), "depth").join(ways, ["scope", "root"])
+    return descendants(forest).unionByName(around.select("scope", "ancestor", "descendant", (F.col("way") + F.col("depth")).alias("distance")))
+
+
+def loop_counts(nodes: DataFrame, tree: DataFrame) -> DataFrame:
+    """(scope, id, n): number of other nodes that a node on or below a loop reaches, without listing loops' pairs."""
+    forest = cut(loop_trees(nodes, tree))
+    ring = ring_ids(tree)
+    below = descendants(forest).groupBy("scope", F.col("ancestor").alias("id")).agg(F.count("*").alias("n")).join(ring, ["scope", "id"], "left_anti")
+    trees = forest.groupBy("scope", F.col("root").alias("id")).agg(F.count("*").alias("size")).join(ring, ["scope", "id"])
+    sizes = trees.groupBy("scope", "ring").agg((F.sum("size") - 1).alias("n"))
+    return below.unionByName(ring.join(sizes, ["scope", "ring"]).select("scope", "id", "n"))

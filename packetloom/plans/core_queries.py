@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.operators import drift, flatten, hierarchy
-from packetloom.runtime import first_rows, read_table
+from packetloom.runtime import cut, first_rows, read_table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +41,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_tree(spark: SparkSession, sf: str) -> DataFrame:
-    t = hierarchy.resolve_hierarchy(_links(spark, sf))
+    links = _links(spark, sf)
+    t = cut(hierarchy.resolve_hierarchy(links))
     n = hierarchy.descendants(t).groupBy("scope", F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
+    n = n.unionByName(hierarchy.loop_counts(links, t).withColumnRenamed("n", "n_descendants"))
     t = t.join(n, ["scope", "id"], "left")
     return t.select(*_scoped(t), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "state", "depth", F.col("root").alias("root_id"), "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
 
@@ -52,6 +54,13 @@ def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(*_scoped(d), F.col("ancestor").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
+def p5_loop_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs on and below loops, which the SQL of p5_descendants leaves out."""
+    links = _links(spark, sf)
+    d = hierarchy.loop_descendants(links, cut(hierarchy.resolve_hierarchy(links, paths=False)))
+    return d.select(*_scoped(d), F.col("ancestor").alias("node_id"), F.col("descendant").alias("descendant_id"), "distance")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.flatten_records(read_table(spark, sf, "claude_rows")).select("session_id", "line_no", "rel", "item_no", "sub_no")
 
@@ -60,7 +69,7 @@ def p6_tables(spark: SparkSession, sf: str) -> DataFrame:
     return flatten.tables(read_table(spark, sf, "claude_rows"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p3_scripts, p5_found, p5_tree, p5_descendants, p6_found, p6_tables)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_unified, p3_scripts, p5_found, p5_tree, p5_descendants, p5_loop_descendants, p6_found, p6_tables)}
 
 #: session, node and parent of both tables, a node's first row counts
 _P5_NODES = """n AS (SELECT tbl, session_id, id, (min({'pos': pos, 'parent': coalesce(parent, '')})).parent AS parent0, min(pos) AS pos FROM (

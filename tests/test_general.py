@@ -67,6 +67,30 @@ def test_hierarchy_empty_and_descendants(spark):
     assert {(r["ancestor"], r["descendant"], r["distance"]) for r in hierarchy.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_descendants_on_and_below_loops(spark):
+    ring = [("s", f"r{i}", f"r{(i + 1) % 7}", i) for i in range(7)]
+    rows = ring + [("s", "t0", "r3", 8), ("s", "t1", "t0", 30), ("s", "t2", "t1", 9), ("s", "self", "self", 40), ("s", "under", "self", 10), ("s", "a", None, 11), ("s", "b", "a", 12), ("q", "t0", "u", 1), ("q", "u", "t0", 2)]
+    rows += [("s", "t1", "r0", 99)] + rows[:2]
+    first = {}
+    for s, i, p, _ in sorted(rows, key=lambda r: r[3]):
+        first.setdefault((s, i), p)
+    want = set()
+    for s, i in first:
+        at, n, seen = first[s, i], 1, {i}
+        while at is not None and at not in seen:
+            want.add((s, at, i, n))
+            seen.add(at)
+            at, n = first[s, at], n + 1
+    links = nodes(spark, rows)
+    tree = hierarchy.resolve_hierarchy(links, block=4)
+    pairs = hierarchy.descendants(tree).unionByName(hierarchy.loop_descendants(links, tree)).collect()
+    got = [(r["scope"], r["ancestor"], r["descendant"], r["distance"]) for r in pairs]
+    assert len(got) == len(set(got)) and set(got) == want
+    loose = {k for k, (state, _) in brute(rows).items() if "cycle" in state}
+    count = {k: sum((s, a) == k for s, a, _, _ in want) for k in loose}
+    assert {(r["scope"], r["id"]): r["n"] for r in hierarchy.loop_counts(links, tree).collect()} == {k: n for k, n in count.items() if n or k in {("s", "self")}}
+
+
 def test_flatten_spellings_and_places():
     patch = json.dumps(json.dumps({"structured_patch": {"oldStart": 1, "lines": ["-a", None, "+b"]}}))
     got = [(t, i, j) for t, i, j, _ in flatten.visit(json.dumps([{"type": "text", "text": "x"}, None, {"type": "tool_result", "content": {"type": "text", "text": "y"}}]), patch, ["u", None, "v"])]

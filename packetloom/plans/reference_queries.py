@@ -160,14 +160,32 @@ def bm25_topk(spark, sf):
  u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM (SELECT * FROM a WHERE rank < 100 UNION ALL SELECT * FROM b WHERE rank < 100) GROUP BY ALL)
  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INT) AS rank FROM u QUALIFY rank < 8""")
 def hybrid_rrf(spark, sf):
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    q = _queries(spark, sf)
+    return _hybrid(read_table(spark, sf, "documents").select("doc_id", "text"), _queries(spark, sf))
+
+
+def _hybrid(docs: DataFrame, q: DataFrame) -> DataFrame:
     a = retrieval.top(retrieval.bm25(docs, q, ["doc_id"]), ["doc_id"], 100)
     terms = q.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
     o = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.coalesce("text", F.lit(""))))).alias("term")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
     return retrieval.fuse([(a, 1.0), (retrieval.top(o, ["doc_id"], 100), 1.0)], ["doc_id"], 8)
 
 
+def _document_queries(docs: DataFrame) -> DataFrame:
+    """The texts of every twentieth document, by its id, as queries against all documents."""
+    return docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query()
+def bm25_documents(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return retrieval.top(retrieval.bm25(docs, _document_queries(docs), ["doc_id"]), ["doc_id"], 8)
+
+
+@query()
+def hybrid_documents(spark, sf):
+    return _hybrid(docs := read_table(spark, sf, "documents").select("doc_id", "text"), _document_queries(docs))
+
+
 @query("""SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INT) AS rank FROM
  (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) / sqrt(list_dot_product(d.embedding::DOUBLE[], d.embedding::DOUBLE[])), 6) + 0.0 AS score
   FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0) QUALIFY rank < 8""")

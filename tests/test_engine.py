@@ -101,3 +101,32 @@ def test_metrics(spark):
     assert got == {"a": (1, 0, 1), "b": (1, 1, 1)}
     w = metrics.wild_cluster([(5.0, 10), (6.0, 10), (7.0, 12), (4.0, 9), (5.5, 10), (6.5, 11)])
     assert w["delta"] > 0 and w["p"] == 2 / 64
+
+
+def test_every_twentieth_document_is_a_query(spark, tmp_path):
+    import math
+    import re
+
+    from packetloom.plans import reference_queries
+
+    words = "red green blue cat dog tree house river stone cloud".split()
+    texts = {i: " ".join(words[(i * k + k) % 10] for k in range(1, 3 + i % 5)) for i in range(60)} | {40: None, 7: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = {i: re.findall("[a-z0-9]+", (t or "").lower()) for i, t in texts.items()}
+    n, avg = len(terms), sum(map(len, terms.values())) / len(terms)
+
+    def score(q, d):
+        s = 0
+        for t in terms[q]:
+            df, tf = sum(t in x for x in terms.values()), terms[d].count(t)
+            s += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(terms[d]) / avg))
+        return round(s, 6)
+
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in reference_queries.bm25_documents(spark, str(tmp_path)).collect()}
+    want = {}
+    for q in (0, 20, 40):
+        best = sorted((-score(q, d), d) for d in terms if set(terms[q]) & set(terms[d]))[:8]
+        want |= {(q, k): (d, -s) for k, (s, d) in enumerate(best)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+    assert {r["query_id"] for r in reference_queries.hybrid_documents(spark, str(tmp_path)).collect()} == {0, 20}

@@ -257,6 +257,13 @@ def name_maps(values: DataFrame, changes: DataFrame, catalog: list[str]) -> Data
     return fields.join(links, "project_key", "left").mapInPandas(_resolve_names(catalog), "project_key string, field string, catalog_field string")
 
 
+def as_boolean(v) -> bool | None:
+    """A boolean in any of its spellings, also as the only value of an object or array; None for other values."""
+    while isinstance(v, (dict, list)) and len(v) == 1:
+        v = next(iter(v.values())) if isinstance(v, dict) else v[0]
+    return v if isinstance(v, bool) else {"true": True, "false": False, "yes": True, "no": False, "1": True, "0": False}.get(str(v).strip().lower())
+
+
 def _project(columns: list[tuple[str, str]]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -266,13 +273,14 @@ def _project(columns: list[tuple[str, str]]):
                 if obj is None:
                     continue
                 to = {r["field"]: r["catalog_field"] for r in (names if names is not None else [])}
-                got, rest = {}, {}
+                got, keys, rest = {}, {}, {}
                 for k, v in obj.items():
                     if v is None:
                         continue
                     c = to.get(k)
                     if c and c not in got:
                         got[c] = v
+                        keys[c] = k
                     else:
                         rest[k] = v
                 row = [p, f, no]
@@ -281,7 +289,9 @@ def _project(columns: list[tuple[str, str]]):
                     if v is None:
                         row.append(None)
                     elif kind == "boolean":
-                        row.append(v if isinstance(v, bool) else {"true": True, "false": False, "1": True, "0": False}.get(str(v).lower()))
+                        row.append(as_boolean(v))
+                        if row[-1] is None:
+                            rest[keys[name]] = v
                     elif kind == "string" and isinstance(v, dict) and len(v) == 1 and isinstance(next(iter(v.values())), str):
                         row.append(next(iter(v.values())))  # a string wrapped into an object
                     else:
@@ -295,7 +305,7 @@ def _project(columns: list[tuple[str, str]]):
 def unify(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """All lines as one table: the catalogue's fields with its types (objects as JSON text) and the rest as JSON.
 
-    A value that does not fit a boolean field is null there. Lines are merged by (project_key, file_no, line_no).
+    A value that does not fit a boolean field is null there and stands in other_fields under its own name. Lines are merged by (project_key, file_no, line_no).
     """
     one = lines.drop("received_at").dropDuplicates(["project_key", "file_no", "line_no"])
     columns = [(r["field_name"], r["json_type"]) for r in catalog.select("field_name", "json_type").distinct().orderBy("field_name").collect()]  # fixed, small

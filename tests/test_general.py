@@ -150,6 +150,13 @@ def test_drift_unify(spark):
     assert got == [(1, "user", True, None), (2, "user", False, '{"more": [1]}'), (3, "user", None, None)]
 
 
+def test_drift_unify_keeps_values_of_boolean_fields(spark):
+    raws = ['{"isMeta":"yes"}', '{"isMeta":"No "}', '{"isMeta":{"value":true}}', '{"isMeta":[0]}', '{"isMeta":"perhaps","x":1}', '{"is_meta":{"a":true,"b":false}}', '{"isMeta":2}']
+    catalog = spark.createDataFrame([("isMeta", "boolean")], "field_name string, json_type string")
+    got = {r["line_no"]: (r["isMeta"], json.loads(r["other_fields"] or "{}")) for r in drift.unify(lines(spark, {("p", 1): raws}), catalog).collect()}
+    assert [got[n] for n in range(1, 8)] == [(True, {}), (False, {}), (True, {}), (False, {}), (None, {"x": 1, "isMeta": "perhaps"}), (None, {"is_meta": {"a": True, "b": False}}), (None, {"isMeta": 2})]
+
+
 def test_assignment_is_optimal():
     import itertools
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,13 +24,11 @@ except ImportError:  # the same words as one alternation
     ahocorasick = None
 
 # --- fixed values: words and formats ---------------------------------------------------------------------------
-#: words that any match below needs, in lower case
+#: words of which any match below holds one, in lower case; with ``_PLUS`` a superset of all matches
 KEYWORDS = (
-    "password", "passwd", "passwort", "passphrase", "pwd", "pass=", "pass:", "_pass", "-pass", "kennwort", "mot_de_passe", "motdepasse", "contraseña", "contrasena",
-    "clave", "senha", "密码", "口令", "パスワード", "secret", "token=", "token:", "_token", "-token", "authtoken", "api_key", "apikey", "api-key", "_key", "key=", "key:", "key\"", "key'", "signing",
-    "credential", "authorization", "bearer ", "basic ", "private key", "://", " -u ", "mysql", "--user", "--token", "services/",
+    "pass", "pwd", "kennwort", "contraseña", "contrasena", "clave", "senha", "密码", "口令", "パスワード", "secret", "credential", "token", "key",
+    "auth", "curl", "mysql", "mariadb", "://", "services/",
     "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_p", "glpat", "npm_", "hf_", "sk-", "sk_", "rk_", "xox", "aiza", "eyj", "pypi-", "dop_v1", "sg.", "shpat_",
-    "' + '", '" + "', "\\\" + \\\"",
 )
 
 #: formats by which issuers mark their keys
@@ -85,6 +84,10 @@ def _automaton():
 
 
 _scan = None
+#: between the parts of a divided literal; any white space may stand there
+_PLUS = re.compile(r"\+[^\S\n]*\\?[\"']")
+#: letters that the expressions take for s and i without regard to case
+_FOLD = str.maketrans("ſıİ", "sii")
 
 
 def hit_lines(text: str) -> list[tuple[int, int]]:
@@ -95,10 +98,13 @@ def hit_lines(text: str) -> list[tuple[int, int]]:
     low = text.lower()
     if len(low) != len(text):  # case folding changed the length: fold letter by letter
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    if not low.isascii():
+        low = low.translate(_FOLD)
     out: list[tuple[int, int]] = []
     stop = -1
-    for hit in _scan(low):
-        at = hit[0] if ahocorasick is not None else hit.start()
+    found = (hit[0] if ahocorasick is not None else hit.start() for hit in _scan(low))
+    plus = [m.start() for m in _PLUS.finditer(text)] if "+" in text else []
+    for at in heapq.merge(found, plus) if plus else found:
         if at < stop:
             continue
         begin = text.rfind("\n", 0, at + 1) + 1 if text[at] != "\n" else text.rfind("\n", 0, at) + 1

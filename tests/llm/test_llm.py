@@ -100,6 +100,16 @@ def test_calls_without_or_with_repeated_ids_get_their_results(spark, monkeypatch
         assert got == wanted
 
 
+def test_every_line_that_matches_is_scanned():
+    v = "Zk8mQ2xR7tLw9PbV4nHs"
+    lines = [f'"token": "{v}"', f'"accessToken" : "{v}"', f"token = '{v}'", f"storageKey = '{v}'", f"accessKey = '{v}'", f'"pass": "{v}"', f"pass = '{v}'", f'key_prod = "{v}"', f"<token>{v}</token>", f"run --auth {v}", f"mariadb -u x -p{v}", f"curl\t-u me:{v} host"]
+    half = "ghp_" + "aB3" * 12
+    lines += [f"'{half[:9]}'  +  '{half[9:]}'", f'"{half[:9]}"+"{half[9:]}"', f"paſſword = '{v}'", f"Authorızation = 1; AUTH_TOKEN='{v}'"]
+    for x in lines:
+        assert secrets.line_spans(x) == [(a - 6, b - 6) for a, b in secrets.find_secrets("plain\n" + x + "\nend")], x
+        assert secrets.line_spans(x), x
+
+
 def test_kahn_orders_by_rank_and_leaves_loops():
     order, loose = conversations.kahn([-1, 0, 0, 4, 3], [5, 2, 1, 0, 0])
     assert order == [0, 2, 1] and loose == {3, 4}

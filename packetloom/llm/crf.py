@@ -195,10 +195,11 @@ class CRF:
     def _hard(self, lines: list[list[str]]) -> list[int]:
         """Lines whose best path may leave the outer label.
 
-        If no label at any place beats the outer one by more than the best transition can add, the path that
-        stays outside is the best one, so the others need no decoding.
+        A path with k tokens of other labels has at most 2k transitions (or a start) besides those from outer to
+        outer. If no label at any place, with twice the best gain of a transition, beats the outer one, the path
+        that stays outside is the best one and needs no decoding.
         """
-        gain = max(float((self.trans - self.trans[0, 0]).max()), float((self.start - self.start[0]).max()))
+        gain = 2 * max(0.0, float((self.trans - self.trans[0, 0]).max()), float((self.start - self.start[0]).max()))
         types, hard = self.types, []
         for a in range(0, len(lines), 20_000):
             part = [(i, x) for i, x in enumerate(lines[a:a + 20_000], a) if x]

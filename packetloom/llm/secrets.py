@@ -10,8 +10,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import heapq
+import json
 import re
+import string
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 try:
     import ahocorasick
-except ImportError:  # the same words as one alternation
+except ImportError:
     ahocorasick = None
 
 # --- fixed values: words and formats ---------------------------------------------------------------------------
@@ -52,15 +56,19 @@ _EDGE = r"(?:(?<![A-Za-z0-9])|(?<=\\n)|(?<=\\t))"
 _ISSUER = re.compile(_EDGE + "(?:" + "|".join(ISSUERS) + ")(?![A-Za-z0-9])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_NAMED = re.compile(
-    rf"(?i)(?<![A-Za-z0-9])(?P<name>[\w.-]*?(?:{NAME_WORDS})[\w-]*)(?:\\?[\"'])?\s*(?P<op>:=|=>|==|=|:|(?<=password) |(?<=passwd) )\s*(?P<value>\\?\"[^\"\n]*?\\?\"|\\?'[^'\n]*?\\?'|[^\s\"'<>,;\\][^\s\"'<>,;\\]*)"
-)
+_NAME_RUN = re.compile(r"[\w.-]+")
+_NAME_WORD = re.compile(f"(?i){NAME_WORDS}")
+_ASSIGNED = re.compile(r"(?:\\?[\"'])?\s*(?P<op>:=|=>|==|=|:)\s*(?P<value>\\?\"[^\"\n]*?\\?\"|\\?'[^'\n]*?\\?'|[^\s\"'<>,;\\][^\s\"'<>,;\\]*)")
 _SPLIT = re.compile(r"(?P<q>\\?[\"'])(?P<a>[A-Za-z0-9_.-]{2,})(?P=q)\s*\+\s*(?P=q)(?P<b>[A-Za-z0-9_.-]+)(?P=q)")
-_URL = re.compile(_EDGE + r"[a-z][a-z0-9+.-]*://[^\s:/@\"'<>]*:(?P<value>[^\s/@\"'<>]{3,})@[A-Za-z0-9.-]+")
+_SCHEME_END = re.compile(r"[a-z0-9+.-]*\Z")
+_LOGIN_PART = re.compile(r"[^\s:/@\"'<>]*:(?P<value>[^\s/@\"'<>]{3,})@[A-Za-z0-9.-]+")
 _HOOK = re.compile(r"https?://hooks?\.[^\s\"'/]+/services/(?P<value>T[A-Za-z0-9]+/B[A-Za-z0-9]+/[A-Za-z0-9]{16,})")
 _HEADER = re.compile(r"(?i)authorization\\?[\"']?\s*[:=]\s*\\?[\"']?(?P<scheme>bearer|token|basic|apikey|digest)\s+(?P<value>[A-Za-z0-9+/=_.~-]{12,})")
-_BASIC_USER = re.compile(_EDGE + r"curl\b[^\n]*?\s(?:-u|--user)[ =]\\?[\"']?[^\s:\"']+:(?P<value>[^\s\"']+)")
-_MYSQL = re.compile(_EDGE + r"(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n]*?\s-p(?P<value>[^\s\"'\\]{4,})")
+#: a command and its option; they are sought one after the other, so that a line is passed over once
+_COMMANDS = (
+    (re.compile(_EDGE + r"curl\b"), re.compile(r"\s(?:-u|--user)[ =]\\?[\"']?[^\s:\"']+:(?P<value>[^\s\"']+)")),
+    (re.compile(_EDGE + r"(?:mysql|mysqldump|mysqladmin|mariadb)\b"), re.compile(r"\s-p(?P<value>[^\s\"'\\]{4,})")),
+)
 _OPTION = re.compile(r"(?i)--(?:[a-z]+-)*(?:token|password|secret|passwd|api-key|apikey|auth)[= ]\\?[\"']?(?P<value>[^\s\"'\\]+)")
 _XML = re.compile(r"(?i)<(?:\w+:)?(?:password|passwd|secret|token|api_?key)>(?P<value>[^<\s]+)</")
 _ATTRIBUTE = re.compile(r"(?i)key=\\?[\"'][\w.-]*(?:key|password|secret|token|pwd)\\?[\"']\s+value=\\?[\"'](?P<value>[^\"'\\]+)\\?[\"']")
@@ -73,14 +81,48 @@ _NUMBER = re.compile(r"^[\d.,:_-]+[a-z]{0,3}$")
 # -----------------------------------------------------------------------------------------------------------------
 
 
+def automaton(words: tuple[str, ...]) -> tuple[list[dict[str, int]], list[bool]]:
+    """Goto table and ends of an automaton for all words: a state is the longest suffix read that begins a word."""
+    go: list[dict[str, int]] = [{}]
+    ends, fail = [False], [0]
+    for w in words:
+        at = 0
+        for c in w:
+            if c not in go[at]:
+                go[at][c] = len(go)
+                go.append({})
+                ends.append(False)
+                fail.append(0)
+            at = go[at][c]
+        ends[at] = True
+    queue = list(go[0].values())
+    for state in queue:
+        ends[state] |= ends[fail[state]]
+        for c, nxt in list(go[state].items()):
+            queue.append(nxt)
+            fail[nxt] = go[fail[state]].get(c, 0)
+        go[state] = {**go[fail[state]], **go[state]}
+    return go, ends
+
+
 def _automaton():
+    """A function that yields the places where a keyword ends; the C module's automaton where it is installed."""
     if ahocorasick is None:
-        return re.compile("|".join(map(re.escape, KEYWORDS))).finditer
+        go, ends = automaton(KEYWORDS)
+
+        def scan(text: str) -> Iterator[int]:
+            state = 0
+            for at, c in enumerate(text):
+                state = go[state].get(c, 0)
+                if ends[state]:
+                    yield at
+
+        return scan
     a = ahocorasick.Automaton()
     for w in KEYWORDS:
         a.add_word(w, len(w))
     a.make_automaton()
-    return a.iter
+    return lambda text: (hit[0] for hit in a.iter(text))
 
 
 _scan = None
@@ -102,7 +144,7 @@ def hit_lines(text: str) -> list[tuple[int, int]]:
         low = low.translate(_FOLD)
     out: list[tuple[int, int]] = []
     stop = -1
-    found = (hit[0] if ahocorasick is not None else hit.start() for hit in _scan(low))
+    found = _scan(low)
     plus = [m.start() for m in _PLUS.finditer(text)] if "+" in text else []
     for at in heapq.merge(found, plus) if plus else found:
         if at < stop:
@@ -158,29 +200,97 @@ def _unquote(m: re.Match) -> tuple[int, int, bool]:
     return a, b, quoted
 
 
+def _urls(line: str) -> Iterator[re.Match]:
+    """Logins with a password in addresses; every part of the line belongs to one ``://`` at most."""
+    last = 0
+    at = line.find("://")
+    while at >= 0:
+        scheme = _SCHEME_END.search(line[max(last, at - 64):at]).group().lstrip("0123456789+.-")
+        before = line[at - len(scheme) - 1:at - len(scheme)]
+        if scheme and (not before.isascii() or not before.isalnum() or line[at - len(scheme) - 2:at - len(scheme)] in ("\\n", "\\t")):
+            if m := _LOGIN_PART.match(line, at + 3):
+                yield m
+        last = at + 3
+        at = line.find("://", last)
+
+
+def _options(line: str) -> Iterator[re.Match]:
+    """Values of a command's options: each option needs a command between it and the option before."""
+    for command, option in _COMMANDS:
+        at = 0
+        while (c := command.search(line, at)) and (o := option.search(line, c.end())):
+            yield o
+            at = o.end()
+
+
+def _assignments(line: str) -> Iterator[tuple[str, re.Match]]:
+    """(name, match of operator and value) of names with a word of secrets in their last part.
+
+    A name is a whole run of word characters, dots and dashes, so a line is passed over once, however long.
+    """
+    done = 0
+    for run in _NAME_RUN.finditer(line):
+        if run.start() < done:
+            continue
+        name = run.group().rsplit(".", 1)[-1]
+        if len(name) > 2 and (m := _ASSIGNED.match(line, run.end())) and _NAME_WORD.search(name):
+            yield name.strip("_-"), m
+            done = m.end()
+
+
+_BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
+_SUMMED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})")
+
+
+def verdict_of(value: str) -> str | None:
+    """What a value's own checksum or structure says: ``valid``, ``invalid``, or null where its format has none.
+
+    Tokens with a prefix end in the CRC-32 of their random part, in six base-62 digits; the head of a web token is
+    the JSON of an object with its algorithm. Retired issuers and test accounts hand out tokens without valid
+    sums, so the verdict is reported and only values that cannot be random are dropped (``made_up``).
+    """
+    if m := _SUMMED.fullmatch(value):
+        n, digits = zlib.crc32(m[1].encode()), ""
+        while n:
+            n, r = divmod(n, 62)
+            digits = _BASE62[r] + digits
+        return "valid" if digits.rjust(6, "0") == m[2] else "invalid"
+    if value.startswith("eyJ") and value.count(".") == 2:
+        try:
+            return "valid" if "alg" in json.loads(base64.urlsafe_b64decode(value.split(".")[0] + "===")) else "invalid"
+        except (ValueError, TypeError):
+            return "invalid"
+    return None
+
+
+def made_up(value: str) -> bool:
+    """Whether a value with an issuer's format has the variety of a random one: no letter fills a third of it."""
+    body = value[4:]
+    return len(set(body)) >= 4 and max(map(body.count, set(body))) * 3 <= len(body) or verdict_of(value) == "valid"
+
+
 def line_spans(line: str) -> list[tuple[int, int]]:
     """Spans of secret values that begin in one line (key blocks aside)."""
-    spans = [m.span() for m in _ISSUER.finditer(line)]
-    for rx in (_URL, _HOOK, _BASIC_USER, _MYSQL, _OPTION, _XML, _ATTRIBUTE, _LOGIN):
+    spans = [m.span() for m in _ISSUER.finditer(line) if made_up(m.group())]
+    for rx in (_HOOK, _OPTION, _XML, _ATTRIBUTE, _LOGIN):
         for m in rx.finditer(line):
             if rx is _HOOK or literal(m["value"], False):
                 spans.append(m.span("value"))
+    for found in (_urls(line), _options(line)):
+        spans += [m.span("value") for m in found if literal(m["value"], False)]
     for m in _HEADER.finditer(line):
         if basic_credentials(m["value"]) if m["scheme"].lower() == "basic" else literal(m["value"], True):
             spans.append(m.span("value"))
     for m in _SPLIT.finditer(line):
         if _ISSUER.fullmatch(m["a"] + m["b"]):
             spans += [m.span("a"), m.span("b")]
-    for m in _NAMED.finditer(line):
-        name = m["name"].strip("._-").split(".")[-1]
+    for name, m in _assignments(line):
         if PLAIN_NAMES.search(name):
             continue
         a, b, quoted = _unquote(m)
         value = line[a:b]
         # a bare word behind a colon or in code is more often a name than a value
         certain = bool(re.search(r"(?i)pass|pwd|kennwort|contrase|clave|secret|senha|密码|口令|パスワード", name))
-        if m["op"] == " ":
-            continue
         if not quoted and not certain and re.fullmatch(r"[A-Za-z_][\w.]*", value) and not re.search(r"[A-Z].*\d|\d.*[A-Z]|\d{3}", value):
             continue
         if re.fullmatch(r"(?i)sha(?:256|384|512|1)[:-].*", value):
@@ -193,16 +303,18 @@ def line_spans(line: str) -> list[tuple[int, int]]:
 def find_secrets(text: str) -> list[tuple[int, int]]:
     """Spans (code points) of all secret values of a text, in order, without overlaps."""
     spans: list[tuple[int, int]] = []
-    for begin, end in hit_lines(text):
-        line = text[begin:end]
-        for m in _PEM.finditer(line):
-            close = _PEM_END.search(text, begin + m.end())
-            another = _PEM.search(text, begin + m.end())
+    if "-----BEGIN " in text:
+        closes = list(_PEM_END.finditer(text))
+        starts = [m.start() for m in closes]
+        blocks = list(_PEM.finditer(text))
+        for m, another in zip(blocks, [*(x.start() for x in blocks[1:]), len(text)]):
+            at = bisect.bisect_left(starts, m.end())
             # without an end mark (a cut text), the block runs on over lines of base64 only
-            stop = close.end() if close and not (another and another.start() < close.start()) else _block_end(text, begin + m.end())
-            if stop - begin - m.end() > 24:
-                spans.append((begin + m.start(), stop))
-        spans += [(begin + a, begin + b) for a, b in line_spans(line)]
+            stop = closes[at].end() if at < len(closes) and starts[at] <= another else _block_end(text, m.end())
+            if stop - m.end() > 24:
+                spans.append((m.start(), stop))
+    for begin, end in hit_lines(text):
+        spans += [(begin + a, begin + b) for a, b in line_spans(text[begin:end])]
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a < out[-1][1]:
@@ -258,18 +370,18 @@ def _find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for a, z in find_secrets(text):
                     line += text.count("\n", at, a)
                     at = a
-                    out.append((tbl, conv, rec, line, a, z, line not in seen))
+                    out.append((tbl, conv, rec, line, a, z, line not in seen, verdict_of(text[a:z])))
                     seen.add(line)
-        yield pd.DataFrame(out, columns=["tbl", "conv_id", "rec_id", "line_no", "start", "stop", "first_in_line"])
+        yield pd.DataFrame(out, columns=["tbl", "conv_id", "rec_id", "line_no", "start", "stop", "first_in_line", "verdict"])
 
 
 def secret_spans(texts: DataFrame) -> DataFrame:
-    """Where the secrets are: (tbl, conv_id, rec_id, line_no, start, stop, first_in_line).
+    """Where the secrets are: (tbl, conv_id, rec_id, line_no, start, stop, first_in_line, verdict of ``verdict_of``).
 
     ``texts``: tbl, conv_id, rec_id, text. Null and empty texts have none; lines count from 1, split at ``\\n``;
     a secret over several lines counts for the line on which it begins.
     """
-    return texts.select("tbl", "conv_id", "rec_id", "text").filter("text is not null and text <> ''").mapInPandas(_find, "tbl string, conv_id string, rec_id string, line_no long, start long, stop long, first_in_line boolean")
+    return texts.select("tbl", "conv_id", "rec_id", "text").filter("text is not null and text <> ''").mapInPandas(_find, "tbl string, conv_id string, rec_id string, line_no long, start long, stop long, first_in_line boolean, verdict string")
 
 
 def _redact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -27,12 +27,11 @@ _EVENT = ["session_id", "event_id"]
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)
-    return pieces.filter("range_no = 0 and piece_in_range = 0").select(*_EVENT)
+    return p2_pieces(spark, sf).filter("piece_no = 0").select(*_EVENT)
 
 
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.numbered(cut(chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)), _EVENT)
+    return chunking.split_oversized(read_table(spark, sf, "trace_events"), _EVENT)
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:

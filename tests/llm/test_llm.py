@@ -124,7 +124,7 @@ def test_chunks_cover_and_stay_within_limit(spark, seed, monkeypatch):
     r = random.Random(seed)
     text = "".join(r.choice(["word ", "längere ", "x" * r.randint(1, 700), "\n", "\n\n", "Ende. ", "数据。", "🙂", "\r\n"]) for _ in range(r.randint(50, 900)))
     d = spark.createDataFrame([("k", text), ("k", text), ("short", "a"), ("none", None), ("empty", "")], "id string, text string")
-    p = chunking.numbered(chunking.split_oversized(d, ["id"], limit=64, overlap=8), ["id"]).orderBy("piece_no").collect()
+    p = chunking.split_oversized(d, ["id"], limit=64, overlap=8).orderBy("piece_no").collect()
     if len(text) // 4 <= 64:
         assert not p
         return
@@ -141,7 +141,7 @@ def test_chunks_cover_and_stay_within_limit(spark, seed, monkeypatch):
 def test_chunks_over_many_ranges(spark):
     text = "Ein Satz mit Worten. " * 12_000  # longer than three ranges
     d = spark.createDataFrame([("k", text)], "id string, text string")
-    p = chunking.numbered(chunking.split_oversized(d, ["id"]), ["id"]).orderBy("piece_no").collect()
+    p = chunking.split_oversized(d, ["id"]).orderBy("piece_no").collect()
     at = 0
     for x in p:
         assert x["start"] <= at < x["stop"] and x["token_cost"] <= 1024 and text[x["stop"] - 1] in " "
@@ -306,3 +306,21 @@ def test_skipped_lines_have_no_better_path():
         for a, b in zip(got, field.decode(lines)):
             assert (a is None and not b.any()) or (a is not None and list(a) == list(b))
         field._hard = monkey
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_files_by_byte_ranges(spark, tmp_path, seed):
+    r = random.Random(seed)
+    data = b"".join(r.choice([b"word ", "länger ".encode(), b"\n", b"\n\n", "数据。".encode(), "🙂".encode(), b"x" * r.randint(1, 900), b"\xff", b"Ende. "]) for _ in range(9000))
+    (tmp_path / "a.txt").write_bytes(data)
+    (tmp_path / "empty.txt").write_bytes(b"")
+    paths = [str(tmp_path / "a.txt"), str(tmp_path / "empty.txt")]
+    p = chunking.split_files(spark, paths, limit=64, overlap=8, span=20_000).orderBy("piece_no").collect()
+    at = chars = 0
+    for i, x in enumerate(p):
+        assert x["file_path"] == paths[0] and x["piece_no"] == i and x["token_cost"] <= 64 and len(data[x["byte_start"]:x["byte_stop"]].decode("utf-8", "surrogateescape")) == len(x["text"])
+        assert x["byte_start"] <= at < x["byte_stop"] and x["start"] <= chars < x["stop"]
+        if i:
+            assert chars - x["start"] <= 8 * 4 + 4
+        at, chars = x["byte_stop"], x["stop"]
+    assert at == len(data) and len(p) > 100 and chars == len(data.decode("utf-8", "surrogateescape"))

@@ -1,236 +1,60 @@
 """Parent-child links to full hierarchies by fragment contraction.
 
-Nodes are cut into blocks of consecutive places, so that chains (a child mostly follows its parent) stay
-within one block even when one session holds most of the rows. Every partition contracts its blocks' chains
-to *fragment exits* with numpy pointer jumping; the exits whose parent lies in another block form a much
-smaller quotient forest that is solved by the same function with wider blocks; its solution is then joined
-back to expand depth, root and path of every node. Loops inside a block are found while contracting, loops
-through several blocks in the quotient.
+The parent chains of blocks of rows are contracted to fragment exits, the smaller quotient forest is solved recursively
+and the fragments' paths are expanded (``contraction.solve``). Loops inside a block and through several blocks are found
+on the way. Subtrees are counted by sums upwards over fragments, and descendants are given as preorder intervals,
+so no pair of an ancestor and a descendant needs to be listed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.runtime import cut, spread
-
-BLOCK = 4096  #: consecutive places in one fragment block
-MAX_BLOCK_ROWS = 250_000  #: rows of a widened block that one task may take; beyond it pointers are doubled
-
-ROOT, OPEN, CYCLE, BELOW, ORPHAN = "root", "open", "cycle", "below_cycle", "orphan"
-
-
-def contract(parent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top of each node's chain, its distance, and 0 (ends), 1 (on a loop) or 2 (below a loop).
-
-    ``parent`` holds indexes, -1 where the chain ends.
-    """
-    n = len(parent)
-    own = np.arange(n)
-    jump = np.where(parent >= 0, parent, own)
-    dist = (parent >= 0).astype(np.int64)
-    steps = 1
-    while steps <= n:
-        nxt = jump[jump]
-        if np.array_equal(nxt, jump):
-            break
-        dist = dist + dist[jump]
-        jump = nxt
-        steps *= 2
-    state = np.zeros(n, dtype=np.int8)
-    stuck = parent[jump] >= 0
-    if stuck.any():
-        # images of a map applied at least n times are exactly the nodes on its loops
-        state[stuck] = 2
-        state[np.unique(jump[stuck])] = 1
-    return jump, dist, state
-
-
-def _chains(parent: np.ndarray, ids: np.ndarray, dist: np.ndarray, state: np.ndarray, segs=None) -> list:
-    """Ids from the top of the chain to the node itself; None on or below loops."""
-    out: list = [None] * len(parent)
-    for i in np.argsort(dist, kind="stable"):
-        if state[i] == 0:
-            if parent[i] < 0:
-                out[i] = [ids[i]]
-            else:
-                out[i] = out[parent[i]] + (list(segs[i]) if segs is not None else []) + [ids[i]]
-    return out
-
-
-def _local(paths: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
-        if not got:
-            return
-        d = pd.concat(got, ignore_index=True)
-        scope = pd.factorize(d["scope"] + "\x00" + d["block"].astype(str))[0]
-        key = pd.MultiIndex.from_arrays([scope, d["id"]])
-        parent = key.get_indexer(pd.MultiIndex.from_arrays([scope, d["parent"].where(d["parent"].notna(), "\x00none")]))
-        parent = np.where(d["parent"].isna().to_numpy(), -1, parent)
-        top, dist, state = contract(parent)
-        ids = d["id"].to_numpy()
-        out = d[["scope", "id", "parent", "pos", "block"]].copy()
-        out["top"] = ids[top]
-        out["top_parent"] = d["parent"].to_numpy()[top]
-        out["steps"] = dist
-        out["state"] = np.select([state == 1, state == 2, d["parent"].isna().to_numpy()[top]], [CYCLE, BELOW, ROOT], OPEN)
-        out["chain"] = _chains(parent, ids, dist, state) if paths else None
-        yield out
-
-    return run
-
-
-_LOCAL = "scope string, id string, parent string, pos long, block long, top string, top_parent string, steps long, state string, chain array<string>"
-
+from packetloom.operators.contraction import BELOW, CYCLE, DANGLING, NOTHING, PATH, ROOT, solve
+from packetloom.runtime import cut, prefix_sums
 
-def _contract_blocks(nodes: DataFrame, width: int, paths: bool) -> DataFrame:
-    blocks = nodes.withColumn("block", F.floor(F.col("pos") / F.lit(width)).cast("long"))
-    return spread(blocks, "scope", "block").mapInPandas(_local(paths), _LOCAL)
+ORPHAN, UNDER_ORPHAN = "orphan", "under_orphan"
 
 
-def _solve_forest(edges: DataFrame, paths: bool) -> DataFrame:
-    """Quotient forest: edges(scope, id, pos, parent, weight, seg, end_state, end_root); parents are ids too, or null.
-
-    Returns (scope, id, state, root, depth, path): what hangs above the parent; ``path`` ends before id. A scope
-    whose quotient fits one task is contracted there; if any is larger, all are solved by distributed doubling.
-    """
-    if edges.groupBy("scope").count().filter(F.col("count") > MAX_BLOCK_ROWS).isEmpty():
-        return spread(edges, "scope").mapInPandas(_forest_local, "scope string, id string, state string, root string, depth long, path array<string>")
-    states = _double(edges.withColumn("seg", F.lit(None).cast("array<string>")))
-    if not paths:
-        return states
-    loops = states.filter(F.col("state").isin(CYCLE, BELOW))
-    ends = _double(edges.join(loops, ["scope", "id"], "left_anti"))
-    return ends.unionByName(loops)
-
-
-def _forest_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    d = pd.concat(got, ignore_index=True)
-    scope = pd.factorize(d["scope"])[0]
-    key = pd.MultiIndex.from_arrays([scope, d["id"]])
-    parent = key.get_indexer(pd.MultiIndex.from_arrays([scope, d["parent"].where(d["parent"].notna(), "\x00none")]))
-    parent = np.where(d["parent"].isna().to_numpy(), -1, parent)
-    top, dist, state = contract(parent)
-    weight = d["weight"].to_numpy(dtype=np.int64)
-    depth = np.zeros(len(d), dtype=np.int64)
-    path: list = [None] * len(d)
-    seg = d["seg"].to_numpy()
-    for i in np.argsort(dist, kind="stable"):
-        if state[i] == 0:
-            above = parent[i]
-            depth[i] = weight[i] + (depth[above] if above >= 0 else 0)
-            if seg[i] is not None and (above < 0 or path[above] is not None):  # none below a loop of one block
-                path[i] = (list(path[above]) if above >= 0 else []) + list(seg[i])
-    first = d["end_state"].to_numpy()[top]
-    yield pd.DataFrame({
-        "scope": d["scope"], "id": d["id"], "state": np.select([state == 1, state == 2], [CYCLE, BELOW], first),
-        "root": np.where(state == 0, d["end_root"].to_numpy()[top], None), "depth": depth, "path": path,
-    })
-
-
-def _double(edges: DataFrame) -> DataFrame:
-    """Pointer doubling by joins, for quotients too large or too tangled for one task a block."""
-    cur = cut(edges.select("scope", "id", "parent", "weight", "seg", "end_state", "end_root"))
-    n = max(cur.count(), 2)
-    for _ in range(int(np.ceil(np.log2(n))) + 1):
-        if cur.filter(F.col("parent").isNotNull()).isEmpty():
-            break
-        up = cur.select("scope", F.col("id").alias("parent"), F.col("parent").alias("p2"), F.col("weight").alias("w2"), F.col("seg").alias("s2"), F.col("end_state").alias("e2"), F.col("end_root").alias("r2"))
-        cur = cut(
-            cur.join(up, ["scope", "parent"], "left").select(
-                "scope", "id", F.col("p2").alias("parent"), (F.col("weight") + F.coalesce("w2", F.lit(0))).alias("weight"),
-                F.when(F.col("parent").isNull(), F.col("seg")).otherwise(F.concat("s2", "seg")).alias("seg"),
-                F.when(F.col("parent").isNull(), F.col("end_state")).otherwise(F.col("e2")).alias("end_state"),
-                F.when(F.col("parent").isNull(), F.col("end_root")).otherwise(F.col("r2")).alias("end_root"),
-            )
-        )
-    loops = cur.filter(F.col("parent").isNotNull()).select("scope", F.col("parent").alias("id")).distinct().withColumn("on", F.lit(True))
-    return cur.join(loops, ["scope", "id"], "left").select(
-        "scope", "id",
-        F.when(F.col("on"), CYCLE).when(F.col("parent").isNotNull(), BELOW).otherwise(F.col("end_state")).alias("state"),
-        F.when(F.col("parent").isNull(), F.col("end_root")).alias("root"), F.col("weight").alias("depth"),
-        F.when(F.col("parent").isNull(), F.col("seg")).alias("path"),
-    )
+def first_links(nodes: DataFrame) -> DataFrame:
+    """(scope, id, parent, pos) with unique ids: of several rows of an id the one with the least (pos, parent)."""
+    src = nodes.select(F.col("scope").cast("string").alias("scope"), F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"), F.col("pos").cast("long").alias("pos")).filter("scope is not null and id is not null")
+    return src.groupBy("scope", "id").agg(F.min(F.struct(F.coalesce("pos", F.lit(0)).alias("at"), "parent", "pos")).alias("v")).select("scope", "id", "v.parent", "v.pos")
 
 
-def _mark_rings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of fragments on a loop through several blocks: the nodes from an entry up to the exit are on it."""
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    d = pd.concat(got, ignore_index=True)
-    scope = pd.factorize(d["scope"])[0]
-    key = pd.MultiIndex.from_arrays([scope, d["id"]])
-    parent = key.get_indexer(pd.MultiIndex.from_arrays([scope, d["parent"].where(d["parent"].notna(), "\x00none")]))
-    exits = (d["id"] == d["top"]).to_numpy()
-    on = d["entry"].to_numpy(dtype=bool).copy()
-    for i in np.flatnonzero(on):
-        while not exits[i]:
-            i = parent[i]
-            if on[i]:
-                break
-            on[i] = True
-    yield pd.DataFrame({"scope": d["scope"], "id": d["id"], "ring": on})
-
-
-def resolve_hierarchy(nodes: DataFrame, paths: bool = True, block: int = BLOCK) -> DataFrame:
+def resolve_hierarchy(nodes: DataFrame, paths: bool = True, block: int | None = None, sums: bool = False) -> DataFrame:
     """Every node with the state of its chain, its depth, root and path.
 
     ``nodes``: scope STRING, id STRING, parent STRING, pos BIGINT; extra columns are ignored. Ids are unique
     within a scope after repeats; of several rows of an id the one with the least (pos, parent) counts. Rows with
-    a null scope or id are left out; a null pos counts as 0.
+    a null scope or id are left out; nodes with a null pos count as first and are spread by their ids.
 
-    Result: scope, id, parent, state, depth, root, path. state is ``root`` (the chain ends at a node without
+    Result: scope, id, parent, state, depth, root, path, total. state is ``root`` (the chain ends at a node without
     parent), ``orphan`` (the node's own parent is not in the scope), ``under_orphan`` (an ancestor is such a
     node), ``cycle`` (the node is its own ancestor) or ``below_cycle``. depth counts from the chain's top; depth,
-    root and path are null on and below loops; root of an orphan's tree is the orphan. An empty table gives none.
+    root and path are null on and below loops; root of an orphan's tree is the orphan. total, with ``sums``, counts the
+    node and all below it, null on loops. An empty table gives none.
     """
-    src = nodes.select(F.col("scope").cast("string").alias("scope"), F.col("id").cast("string").alias("id"), F.col("parent").cast("string").alias("parent"), F.coalesce(F.col("pos").cast("long"), F.lit(0)).alias("pos")).filter("scope is not null and id is not null")
-    one = src.groupBy("scope", "id").agg(F.min(F.struct("pos", "parent")).alias("v")).select("scope", "id", "v.parent", "v.pos")
-    local = cut(_contract_blocks(one, block, paths))
-    exits = local.filter((F.col("state") == OPEN) & (F.col("id") == F.col("top"))).select("scope", "id", "pos", F.col("parent").alias("want"))
-    above = local.select("scope", F.col("id").alias("want"), F.col("top").alias("up"), F.col("steps").alias("up_steps"), F.col("state").alias("up_state"), F.col("chain").alias("up_chain"))
-    linked = cut(exits.join(above, ["scope", "want"], "left"))
-    edges = linked.select(
-        "scope", "id", "pos",
-        F.when(F.col("up_state") == OPEN, F.col("up")).alias("parent"),
-        F.when(F.col("up").isNull(), 0).otherwise(F.col("up_steps") + 1).cast("long").alias("weight"),
-        F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.col("up_chain")).alias("seg"),
-        F.when(F.col("up").isNull(), "dangling").when(F.col("up_state") == ROOT, ROOT).otherwise(BELOW).alias("end_state"),
-        F.when(F.col("up").isNull(), F.col("id")).when(F.col("up_state") == ROOT, F.col("up")).alias("end_root"),
+    links = first_links(nodes).withColumns({"weight": F.lit(1).cast("long"), "own": F.lit(1).cast("long"), "seg": F.array("id") if paths else F.lit(None).cast("string")})
+    got = solve(links, PATH if paths else NOTHING, sums, block)
+    dangling = F.when(F.col("weight") == 1, ORPHAN).otherwise(UNDER_ORPHAN)
+    return got.select(
+        "scope", "id", "parent", F.when(F.col("state") == DANGLING, dangling).otherwise(F.col("state")).alias("state"), (F.col("weight") - 1).alias("depth"), "root",
+        (F.col("seg") if paths else F.lit(None).cast("array<string>")).alias("path"), F.col("total") if sums else F.lit(None).cast("long").alias("total"), "pos",
     )
-    if not paths:
-        edges = edges.withColumn("seg", F.lit(None).cast("array<string>"))
-    solved = _solve_forest(edges, paths) if not linked.isEmpty() else None
-    done = local.filter(F.col("state") != OPEN).select("scope", "id", "parent", "state", F.when(F.col("state") == ROOT, F.col("steps")).alias("depth"), F.when(F.col("state") == ROOT, F.col("top")).alias("root"), F.when(F.col("state") == ROOT, F.col("chain")).alias("path"))
-    if solved is None:
-        return done
-    solved = cut(solved)
-    ups = solved.select("scope", F.col("id").alias("top"), F.col("state").alias("s"), F.col("root").alias("r"), F.col("depth").alias("d"), F.col("path").alias("p"))
-    joined = local.filter(F.col("state") == OPEN).join(ups, ["scope", "top"])
-    fine = ~F.col("s").isin(CYCLE, BELOW)
-    rest = joined.select(
-        "scope", "id", "parent", "top",
-        F.when(F.col("s") == "dangling", F.when((F.col("id") == F.col("top")) & (F.col("d") == 0), ORPHAN).otherwise("under_orphan")).otherwise(F.col("s")).alias("state"),
-        F.when(fine, F.col("d") + F.col("steps")).alias("depth"), F.when(fine, F.col("r")).alias("root"),
-        F.when(fine, F.concat("p", "chain")).alias("path"),
-    )
-    rings = solved.filter(F.col("state") == CYCLE).select("scope", "id")
-    if not rings.isEmpty():
-        entries = linked.join(rings, ["scope", "id"], "left_semi").select("scope", F.col("want").alias("id")).distinct().withColumn("entry", F.lit(True))
-        body = local.join(rings.withColumnRenamed("id", "top"), ["scope", "top"], "left_semi").join(entries, ["scope", "id"], "left").select("scope", "id", "parent", "top", F.coalesce("entry", F.lit(False)).alias("entry"))
-        marks = spread(body, "scope", "top").mapInPandas(_mark_rings, "scope string, id string, ring boolean")
-        rest = rest.join(marks, ["scope", "id"], "left").withColumn("state", F.when(F.col("ring"), CYCLE).when(F.col("state") == CYCLE, BELOW).otherwise(F.col("state")))
-    return done.unionByName(rest.select("scope", "id", "parent", "state", "depth", "root", "path"))
+
+
+def preorder(tree: DataFrame, block: int | None = None) -> DataFrame:
+    """(scope, id, first, last): places in the preorder of the node's tree; its descendants are those of the same root
+    with a place above ``first`` up to ``last``. ``tree``: a result with sums; nodes on and below loops are left out.
+    """
+    fine = tree.filter(~F.col("state").isin(CYCLE, BELOW))
+    up = F.when(F.col("depth") > 0, F.col("parent"))
+    ahead = prefix_sums(fine.select("scope", "id", F.coalesce(up, F.lit("")).alias("over"), up.alias("parent"), F.coalesce("pos", F.lit(0)).alias("pos"), "total", (F.col("depth") == 0).alias("top")), ["scope", "over"], ["pos", "id"], "total", "ahead")
+    links = ahead.select("scope", "id", "parent", "pos", F.when(F.col("top"), F.lit(0)).otherwise(F.col("ahead") + 1).cast("long").alias("weight"), F.lit(1).cast("long").alias("own"), F.lit(None).cast("string").alias("seg"))
+    at = solve(links, NOTHING, False, block).select("scope", "id", F.col("weight").alias("first"))
+    return at.join(fine.select("scope", "id", "total"), ["scope", "id"]).select("scope", "id", "first", (F.col("first") + F.col("total") - 1).alias("last"))
 
 
 def descendants(tree: DataFrame) -> DataFrame:
@@ -257,7 +81,7 @@ def loop_trees(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     ``tree`` is the result for ``nodes``.
     """
     loose = tree.filter(F.col("state").isin(CYCLE, BELOW)).select("scope", "id", F.col("state").alias("loop_state"))
-    own = nodes.select("scope", "id", "parent", "pos").join(loose, ["scope", "id"])
+    own = first_links(nodes).join(loose, ["scope", "id"])
     return resolve_hierarchy(own.withColumn("parent", F.when(F.col("loop_state") == BELOW, F.col("parent"))))
 
 
@@ -270,7 +94,7 @@ def loop_descendants(nodes: DataFrame, tree: DataFrame) -> DataFrame:
     ring = ring_ids(tree)
     heads = ring.filter("id = ring").select("scope", "id", F.lit(True).alias("head"))
     # each loop is cut at its least node; the depth below it gives the way from one of its nodes to another
-    loops = nodes.select("scope", "id", "parent", "pos").join(ring, ["scope", "id"]).join(heads, ["scope", "id"], "left")
+    loops = first_links(nodes).join(ring, ["scope", "id"]).join(heads, ["scope", "id"], "left")
     at = resolve_hierarchy(loops.withColumn("parent", F.when(F.col("head").isNull(), F.col("parent"))), paths=False).select("scope", "id", "depth")
     at = cut(at.join(ring, ["scope", "id"]))
     n = at.groupBy("scope", "ring").agg(F.count("*").alias("n"))
@@ -281,10 +105,11 @@ def loop_descendants(nodes: DataFrame, tree: DataFrame) -> DataFrame:
 
 
 def loop_counts(nodes: DataFrame, tree: DataFrame) -> DataFrame:
-    """(scope, id, n): number of other nodes that a node on or below a loop reaches, without listing loops' pairs."""
-    forest = cut(loop_trees(nodes, tree))
+    """(scope, id, n): number of other nodes that a node on or below a loop reaches, without listing pairs."""
+    loose = tree.filter(F.col("state").isin(CYCLE, BELOW)).select("scope", "id", F.col("state").alias("loop_state"))
+    own = first_links(nodes).join(loose, ["scope", "id"])
+    forest = cut(resolve_hierarchy(own.withColumn("parent", F.when(F.col("loop_state") == BELOW, F.col("parent"))), paths=False, sums=True).select("scope", "id", "total"))
     ring = ring_ids(tree)
-    below = descendants(forest).groupBy("scope", F.col("ancestor").alias("id")).agg(F.count("*").alias("n")).join(ring, ["scope", "id"], "left_anti")
-    trees = forest.groupBy("scope", F.col("root").alias("id")).agg(F.count("*").alias("size")).join(ring, ["scope", "id"])
-    sizes = trees.groupBy("scope", "ring").agg((F.sum("size") - 1).alias("n"))
+    below = forest.join(ring, ["scope", "id"], "left_anti").select("scope", "id", (F.col("total") - 1).alias("n")).filter("n > 0")
+    sizes = forest.join(ring, ["scope", "id"]).groupBy("scope", "ring").agg((F.sum("total") - 1).alias("n"))
     return below.unionByName(ring.join(sizes, ["scope", "ring"]).select("scope", "id", "n"))

@@ -41,12 +41,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths, depths, roots and descendants: their number and, off loops, their preorder interval in the root's tree."""
     links = _links(spark, sf)
-    t = cut(hierarchy.resolve_hierarchy(links))
-    n = hierarchy.descendants(t).groupBy("scope", F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
-    n = n.unionByName(hierarchy.loop_counts(links, t).withColumnRenamed("n", "n_descendants"))
-    t = t.join(n, ["scope", "id"], "left")
-    return t.select(*_scoped(t), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "state", "depth", F.col("root").alias("root_id"), "path", F.coalesce("n_descendants", F.lit(0)).alias("n_descendants"))
+    t = cut(hierarchy.resolve_hierarchy(links, sums=True))
+    n = hierarchy.loop_counts(links, t)
+    t = t.join(n, ["scope", "id"], "left").join(hierarchy.preorder(t), ["scope", "id"], "left")
+    count = F.coalesce("n", F.col("total") - 1).alias("n_descendants")
+    return t.select(*_scoped(t), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "state", "depth", F.col("root").alias("root_id"), "path", count, F.col("first").alias("preorder"), F.col("last").alias("last_descendant"))
 
 
 def p5_descendants(spark: SparkSession, sf: str) -> DataFrame:

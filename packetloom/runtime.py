@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -26,10 +28,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+_cut_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of tables of cut lineage; the session may have ended before."""
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001  nothing is left to do at the end of the program
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table to the shared checkpoint folder and read it back; survives the loss of executors.
+
+    The table is columnar and its size known, so later plans read only the columns they need and choose joins by
+    size. All tables of an application are deleted when the program ends.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    if folder not in _cut_folders:
+        _cut_folders.add(folder)
+        atexit.register(_delete, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
@@ -59,6 +84,31 @@ def spread(df: DataFrame, *keys: str | Column, at_least: int = 0) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with the row's rank from 0 within its group as column ``out``; ``group`` and ``order`` tell rows apart.
+
+    Rows are range-sorted by group and order and numbered in their partitions; the partitions' counts are stitched by
+    prefix sums, so a group may hold most of the rows. Group columns must not be null.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    placed = cut(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    parts = placed.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_n")
+    return placed.join(parts.withColumn("_before", before).drop("_n"), [*group, "_part"]).withColumn(out, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
+
+
+def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Sums of ``value`` over the rows before a row in its group, as column ``out``; for groups of any size, see ``ranked``."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*group, *order]
+    placed = cut(df.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy(*group, "_part").agg(F.sum(value).alias("_sum"))
+    parts = parts.select(*group, "_part", (F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_sum")).alias("_before"))
+    inside = F.sum(value).over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    return placed.withColumn("_inside", inside).join(parts, [*group, "_part"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,7 @@
 import json
 import random
 
-from packetloom.operators import drift, flatten, hierarchy
+from packetloom.operators import contraction, drift, flatten, hierarchy
 
 
 def nodes(spark, rows):
@@ -56,7 +56,12 @@ def test_hierarchy_loop_through_blocks_and_tails(spark):
 
 
 def test_hierarchy_doubling_gives_the_same(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "MAX_BLOCK_ROWS", 2)
+    doubled = []
+    plain = contraction._double
+    monkeypatch.setattr(contraction, "_double", lambda *a: doubled.append(1) or plain(*a))
+    r = random.Random(8)
+    check(spark, [("s", f"n{i}", f"n{r.randrange(60)}" if i > 5 else None, i) for i in range(60)], block=2)  # nothing to contract
+    assert doubled
     rows = [("s", f"n{i}", f"n{i - 1}" if i else None, i) for i in range(40)] + [("s", f"c{i}", f"c{(i + 1) % 12}", 50 + i) for i in range(12)] + [("s", "d", "c3", 70), ("s", "e", "gone", 71), ("s", "f", "e", 99)]
     check(spark, rows, block=4)
 
@@ -67,6 +72,23 @@ def test_hierarchy_empty_and_descendants(spark):
     assert {(r["ancestor"], r["descendant"], r["distance"]) for r in hierarchy.descendants(tree).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_totals_and_preorder_intervals_match_brute_force(spark):
+    r = random.Random(11)
+    rows = [("s", f"n{i}", None if i < 2 else f"n{r.randrange(max(0, i - 9), i)}" if r.random() < 0.9 else f"n{r.randrange(50)}", i) for i in range(50)] + [("s", "o", "gone", 60), ("s", "u", "o", 61), ("s", "x", None, None)]
+    paths = {k[1]: p for k, (_, p) in brute(rows).items()}
+    for block in (3, 4096):
+        tree = hierarchy.resolve_hierarchy(nodes(spark, rows), block=block, sums=True)
+        got = {x["id"]: x["total"] for x in tree.collect()}
+        span = {x["id"]: (x["first"], x["last"]) for x in hierarchy.preorder(tree, block).collect()}
+        root = {k: p[0] for k, p in paths.items() if p}
+        assert span.keys() == root.keys()
+        for k in root:
+            below = {z for z, p in paths.items() if p and k in p and z != k}
+            assert got[k] == len(below) + 1
+            assert below == {z for z in root if root[z] == root[k] and span[k][0] < span[z][0] <= span[k][1]}
+            assert len({span[z] for z in root if root[z] == root[k]}) == sum(v == root[k] for v in root.values())
+
+
 def test_descendants_on_and_below_loops(spark):
     ring = [("s", f"r{i}", f"r{(i + 1) % 7}", i) for i in range(7)]
     rows = ring + [("s", "t0", "r3", 8), ("s", "t1", "t0", 30), ("s", "t2", "t1", 9), ("s", "self", "self", 40), ("s", "under", "self", 10), ("s", "a", None, 11), ("s", "b", "a", 12), ("q", "t0", "u", 1), ("q", "u", "t0", 2)]

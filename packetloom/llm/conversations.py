@@ -1,10 +1,13 @@
 """Rebuilding conversations from message rows.
 
-Message rows of two recorders are brought to one spelling of roles, contents, calls and results. The reply graph
-(row to the row it answers) is sorted with Kahn's algorithm, ties by place and time, inside blocks of consecutive
-rows, so that a conversation with most of the rows is spread over many tasks; nodes that are never free are
-marked as lying on a loop. Completeness is checked over the sorted rows with aggregates that combine on the map
-side: gaps, user content, the last turn, and calls against results by id or, where there are none, by open count.
+Message rows of two recorders are brought to one spelling of roles, calls and results. The reply graph (a row to the
+row that it answers) is sorted topologically with Kahn's algorithm, ties by time, then place. In a forest the heap's
+order has a closed form: a row is known by the ranks on its way from the root that exceed all ranks below them, and the
+order compares these lists. They are folded along reply chains by ``contraction.solve``, which peels blocks of rows as
+Kahn's algorithm does, stitches blocks over their exits, and leaves over what lies on or below loops; so a conversation
+may hold most of the rows, and block borders change nothing. Completeness and the order of roles are then checked
+over the sorted rows with aggregates that combine on the map side. Texts are not carried along: they are joined to
+the turns of whole conversations at the end.
 """
 
 from __future__ import annotations
@@ -14,12 +17,13 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.runtime import cut, first_rows, spread
+from packetloom.operators.contraction import BELOW, CYCLE, Fold, solve
+from packetloom.runtime import cut, ranked
 
-BLOCK = 4096  #: rows of a conversation sorted in one piece
+BLOCK = 4096  #: rows of a conversation sorted in one piece; it changes no result
 
 #: one spelling for each role (fixed)
 ROLES = {
@@ -29,11 +33,9 @@ ROLES = {
 
 BLOCK_TYPES = {"text", "thinking", "toolCall", "tool_use", "tool_result", "image", "image_url", "input_text", "output_text", "redacted_thinking"}
 
-MESSAGES = (
-    "tbl string, conv_id string, block long, row_no long, rec_id string, role string, text string, has_content boolean, call_ids array<string>, "
-    "result_id string, ord int, on_loop boolean, ts timestamp"
-)
-
+#: reasons to drop a conversation; the others are reported with it
+INCOMPLETE = ("gap", "no user content", "no closing answer", "stray result", "unanswered call")
+IRREGULAR = ("loop", "role order")
 
 def content_parts(content) -> tuple[str | None, list[str | None]]:
     """(visible text, ids of calls) of plain text or of JSON text of blocks; thinking and calls are not text."""
@@ -77,150 +79,162 @@ def kahn(parents: list[int], rank: list) -> tuple[list[int], set[int]]:
     return order, {i for i in range(n) if waiting[i]}
 
 
-def _sort_block(ids: list, parents_of: list, roles: list, calls: list, results: list, rank: list) -> tuple[list[int], set[int]]:
-    """Places of one block's rows in topological order, and the rows on loops."""
-    at: dict[str, int] = {}
-    for k, i in enumerate(ids):
-        if i is not None:
-            at.setdefault(i, k)
-    open_calls: dict[str, int] = {}
-    parents, previous = [], -1
-    for k, (role, up, result) in enumerate(zip(roles, parents_of, results)):
-        if role == "tool" and result is not None and result in open_calls:
-            parents.append(open_calls[result])
-        elif up is not None:
-            parents.append(at.get(up, -1))
-        else:
-            parents.append(previous)
-        for c in calls[k]:
-            if c is not None:
-                open_calls[c] = k
-        previous = k
-    order, loose = kahn(parents, rank)
-    place = [0] * len(ids)
-    for k, i in enumerate(order + sorted(loose)):
-        place[i] = k
-    return place, loose
-
-
 def one_role(role) -> str | None:
     """The common spelling of a role; ``other`` for unknown ones."""
     return ROLES.get("".join(role.split()).lower().replace("_", ""), "other") if isinstance(role, str) else None
 
 
-def _sort_blocks(texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by conversation, block and row; a block is sorted when its last row has been read."""
-        held: list[tuple] = []
-        last = None
-        for b in batches:
-            rows = zip(*[b.column(c).to_pylist() for c in _SORT_COLUMNS])
-            done: list[tuple] = []
-            for r in rows:
-                if r[:3] != last:
-                    done += _finish(held, texts)
-                    held, last = [], r[:3]
-                held.append(r)
-            if done:
-                yield _batch(done)
-        if held:
-            yield _batch(_finish(held, texts))
-
-    return run
-
-
-_SORT_COLUMNS = ("tbl", "conv_id", "block", "row_no", "ts", "rec_id", "parent", "role", "content", "call_ids", "result_id")
-
-
-def _finish(held: list[tuple], texts: bool) -> list[tuple]:
-    if not held:
-        return []
-    parsed = [content_parts(r[8]) for r in held]
-    roles = [one_role(r[7]) for r in held]
-    calls = [[] if role != "assistant" else list(r[9]) if r[9] else own for role, r, (_, own) in zip(roles, held, parsed)]
-    results = [r[10] for r in held]
-    place, loose = _sort_block([r[5] for r in held], [r[6] for r in held], roles, calls, results, [(r[3], str(r[4])) for r in held])
-    return [
-        (r[0], r[1], r[2], r[3], r[5], role, t if texts else None, bool(t and t.strip()), c, res if role == "tool" else None, k, i in loose, r[4])
-        for i, (r, role, (t, _), c, res, k) in enumerate(zip(held, roles, parsed, calls, results, place))
-    ]
-
-
-_OUT = pa.schema([
-    ("tbl", pa.string()), ("conv_id", pa.string()), ("block", pa.int64()), ("row_no", pa.int64()), ("rec_id", pa.string()), ("role", pa.string()), ("text", pa.string()),
-    ("has_content", pa.bool_()), ("call_ids", pa.list_(pa.string())), ("result_id", pa.string()), ("ord", pa.int32()), ("on_loop", pa.bool_()), ("ts", pa.timestamp("us", "UTC")),
+_ROW = pa.schema([
+    ("tbl", pa.string()), ("conv_id", pa.string()), ("row_no", pa.int64()), ("rec_id", pa.string()), ("parent", pa.string()), ("ts", pa.int64()), ("is_message", pa.bool_()),
+    ("role", pa.string()), ("has_content", pa.bool_()), ("call_ids", pa.list_(pa.string())), ("result_id", pa.string()),
 ])
+_ROW_SQL = "tbl string, conv_id string, row_no long, rec_id string, parent string, ts long, is_message boolean, role string, has_content boolean, call_ids array<string>, result_id string"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the graph and the checks need of a row; its content goes no further."""
+    for b in batches:
+        roles = [one_role(r) for r in b.column("role").to_pylist()]
+        has, calls = [], []
+        for role, content, listed in zip(roles, b.column("content").to_pylist(), b.column("call_ids").to_pylist()):
+            text, own = content_parts(content)
+            has.append(bool(text and text.strip()))
+            calls.append([] if role != "assistant" else listed if listed else own)
+        results = [r if role == "tool" else None for role, r in zip(roles, b.column("result_id").to_pylist())]
+        new = {"role": roles, "has_content": has, "call_ids": calls, "result_id": results}
+        yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in new else b.column(f.name).cast(f.type) for f in _ROW], schema=_ROW)
+
+
+def _recorded(oh: DataFrame, pi: DataFrame) -> DataFrame:
+    """Both recorders' rows in one shape, repeats not yet merged."""
+    o = oh.select(
+        F.lit("oh_rows").alias("tbl"), F.col("trajectory_id").alias("conv_id"), "row_no", F.col("id").alias("rec_id"), F.lit(None).cast("string").alias("parent"), "role", "content",
+        F.transform("tool_calls", lambda c: c["id"]).alias("call_ids"), F.col("tool_call_id").alias("result_id"), F.lit(None).cast("long").alias("ts"), F.lit(True).alias("is_message"),
+    )
+    p = pi.select(
+        F.lit("pi_rows").alias("tbl"), F.col("session_id").alias("conv_id"), "row_no", F.col("id").alias("rec_id"), F.col("parentId").alias("parent"), "role", "content",
+        F.lit(None).cast("array<string>").alias("call_ids"), F.col("toolCallId").alias("result_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.coalesce(F.col("type") == "message", F.lit(False)).alias("is_message"),
+    )
+    return o.unionByName(p).filter("conv_id is not null and row_no is not null")
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows), _OUT)], schema=_OUT)
+CONV = ["tbl", "conv_id"]
 
 
 def message_rows(oh: DataFrame, pi: DataFrame) -> DataFrame:
-    """Both recorders' rows in one shape; repeats are merged by (conversation, row_no)."""
-    o = first_rows(oh, ["trajectory_id", "row_no"]).select(
-        F.lit("oh_rows").alias("tbl"), F.col("trajectory_id").alias("conv_id"), "row_no", F.col("id").alias("rec_id"), F.lit(None).cast("string").alias("parent"), "role", "content",
-        F.transform("tool_calls", lambda c: c["id"]).alias("call_ids"), F.col("tool_call_id").alias("result_id"), F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("is_message"),
-    )
-    p = first_rows(pi, ["session_id", "row_no"]).select(
-        F.lit("pi_rows").alias("tbl"), F.col("session_id").alias("conv_id"), "row_no", F.col("id").alias("rec_id"), F.col("parentId").alias("parent"), "role", "content",
-        F.lit(None).cast("array<string>").alias("call_ids"), F.col("toolCallId").alias("result_id"), F.col("ts").cast("timestamp").alias("ts"), F.coalesce(F.col("type") == "message", F.lit(False)).alias("is_message"),
+    """Narrow rows of both recorders, repeats merged by (conversation, row_no), with ``block``."""
+    rows = _recorded(oh, pi).mapInArrow(_parse, _ROW_SQL).dropDuplicates([*CONV, "row_no"])
+    return rows.withColumn("block", F.floor((F.col("row_no") - 1) / BLOCK).cast("long"))
+
+
+def _above(own: list, above: list) -> list:
+    top = own[0]["t"], own[0]["r"]
+    return [x for x in above if (x["t"], x["r"]) > top] + own
+
+
+def _above_columns(above: Column, own: Column) -> Column:
+    return F.concat(F.filter(above, lambda x: x > F.get(own, F.lit(0))), own)
+
+
+#: ranks (time, row) on the way from the root that exceed all below them; a row's own rank is the last
+PLACE = Fold("array<struct<t:bigint,r:bigint>>", pa.list_(pa.struct([("t", pa.int64()), ("r", pa.int64())])), lambda above, own: _above(own, above), _above_columns)
+
+
+def reply_graph(rows: DataFrame) -> DataFrame:
+    """Nodes for ``solve``: a row answers the row of its parent id, or, where it names none, the row before it.
+
+    A parent that is not in the conversation makes the row a root. The time of a row without one is that of the last
+    row before it that has one.
+    """
+    inside = Window.partitionBy(*CONV, "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*CONV).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*CONV, "block").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("row_no"))).alias("c")).select(*CONV, "block", F.last("c", ignorenulls=True).over(before).alias("carried"))
+    timed = rows.withColumn("t", F.last("ts", ignorenulls=True).over(inside)).join(carried, [*CONV, "block"])
+    named = rows.filter("rec_id is not null").groupBy(*CONV, F.col("rec_id").alias("parent")).agg(F.min("row_no").alias("up"))
+    linked = timed.join(named, [*CONV, "parent"], "left")
+    rank = F.struct(F.coalesce("t", "carried", F.lit(0)).cast("long").alias("t"), F.col("row_no").alias("r"))
+    parent = F.when(F.col("parent").isNull(), F.when(F.col("row_no") > 1, F.col("row_no") - 1)).otherwise(F.coalesce("up", F.lit(-1)))
+    return linked.select(
+        F.concat_ws("\t", *CONV).alias("scope"), F.col("row_no").cast("string").alias("id"), parent.cast("string").alias("parent"), F.col("row_no").alias("pos"),
+        F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("own"), F.array(rank).alias("seg"), rank.alias("rank"),
     )
-    return o.unionByName(p).filter("conv_id is not null and row_no is not null").withColumn("block", F.floor((F.col("row_no") - 1) / BLOCK).cast("long"))
 
 
-def ordered_messages(rows: DataFrame, texts: bool = True) -> DataFrame:
-    """Messages with role, text (unless ``texts`` is off), calls and their place in topological order (block, ord)."""
-    key = ["tbl", "conv_id", "block"]
-    return spread(rows.filter("is_message"), *key).sortWithinPartitions(*key, "row_no").select(*_SORT_COLUMNS).mapInArrow(_sort_blocks(texts), MESSAGES)
+def ordered_messages(rows: DataFrame) -> DataFrame:
+    """Messages with their place ``ord`` in the topological order of their conversation; ``on_loop`` marks rows that
+    are never free (on or below a loop), which stand last, by time and place."""
+    nodes = reply_graph(rows)
+    placed = solve(nodes.drop("rank"), PLACE, block=BLOCK).select("scope", F.col("pos").alias("row_no"), "state", F.col("seg").alias("key"))
+    split = F.split("scope", "\t", 2)
+    placed = placed.select(split[0].alias("tbl"), split[1].alias("conv_id"), "row_no", F.col("state").isin(CYCLE, BELOW).alias("on_loop"), "key")
+    kept = rows.filter("is_message").drop("is_message", "parent", "rec_ts").join(placed, [*CONV, "row_no"])
+    late = F.array(F.struct(F.coalesce("ts", F.lit(0)).alias("t"), F.col("row_no").alias("r")))
+    return ranked(kept.withColumn("key", F.coalesce("key", late)), CONV, ["on_loop", "key", "row_no"], "ord").drop("key")
 
 
-def broken_conversations(rows: DataFrame, messages: DataFrame) -> DataFrame:
-    """(tbl, conv_id, reasons): conversations with a gap, without user content, without a closing answer, with a
-    result for no earlier call or with a call that has no later result."""
-    conv = ["tbl", "conv_id"]
-    places = rows.groupBy(*conv).agg(F.max("row_no").alias("top"), F.min("row_no").alias("low"), F.count("*").alias("n"))
-    gaps = places.select(*conv, F.when((F.col("low") != 1) | (F.col("n") < F.col("top")), "gap").alias("reason"))
+def conversation_reasons(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """(tbl, conv_id, reasons) of conversations with any: ``gap`` in the row numbers, ``no user content``, ``no closing
+    answer``, ``stray result`` (it answers no earlier call), ``unanswered call``; ``loop`` in the reply graph, and
+    ``role order``: in topological order a user's turn follows a user's or a tool's, an assistant's an assistant's, or a
+    tool's a user's."""
     turn = F.col("role").isin("user", "assistant", "tool")
     last = F.max(F.when(turn, F.struct("row_no", (F.col("role") == "assistant").alias("a"), "has_content")))
-    ends = messages.groupBy(*conv).agg(F.max((F.col("role") == "user") & F.col("has_content")).alias("asked"), last.alias("last"))
-    all_convs = places.select(*conv).join(ends, conv, "left")
-    empty = all_convs.select(*conv, F.when(~F.coalesce("asked", F.lit(False)), "no user content").alias("reason"))
-    open_end = all_convs.select(*conv, F.when(~F.coalesce(F.col("last.a") & F.col("last.has_content"), F.lit(False)), "no closing answer").alias("reason"))
-    calls = messages.select(*conv, "block", "row_no", F.explode("call_ids").alias("call_id"), F.lit(1).alias("step"))
-    results = messages.filter("role = 'tool'").select(*conv, "block", "row_no", F.col("result_id").alias("call_id"), F.lit(-1).alias("step"))
+    places = rows.groupBy(*CONV).agg(F.max("row_no").alias("top"), F.min("row_no").alias("low"), F.count("*").alias("n"))
+    previous = messages.select(*CONV, (F.col("ord") + 1).alias("ord"), F.col("role").alias("before"))
+    pair = F.concat_ws(">", "before", "role")
+    ends = messages.join(previous, [*CONV, "ord"], "left").groupBy(*CONV).agg(
+        F.max((F.col("role") == "user") & F.col("has_content")).alias("asked"), last.alias("last"), F.max("on_loop").alias("loop"),
+        F.max(pair.isin("user>user", "tool>user", "assistant>assistant", "user>tool")).alias("disorder"),
+    )
+    calls = messages.select(*CONV, "block", "row_no", F.explode("call_ids").alias("call_id"), F.lit(1).alias("step"))
+    results = messages.filter("role = 'tool'").select(*CONV, "block", "row_no", F.col("result_id").alias("call_id"), F.lit(-1).alias("step"))
     moves = calls.unionByName(results)
-    without = moves.groupBy(*conv).agg((F.count("call_id") == 0).alias("no_ids"))
     # calls and results by id: the first call before the first result, the last result after the last call
-    by_id = moves.groupBy(*conv, "call_id").agg(
-        F.min(F.when(F.col("step") == 1, F.col("row_no"))).alias("c0"), F.max(F.when(F.col("step") == 1, F.col("row_no"))).alias("c1"),
-        F.min(F.when(F.col("step") == -1, F.col("row_no"))).alias("r0"), F.max(F.when(F.col("step") == -1, F.col("row_no"))).alias("r1"),
+    is_call, is_result = F.col("step") == 1, F.col("step") == -1
+    by_id = moves.groupBy(*CONV, "call_id").agg(
+        F.min(F.when(is_call, F.col("row_no"))).alias("c0"), F.max(F.when(is_call, F.col("row_no"))).alias("c1"),
+        F.min(F.when(is_result, F.col("row_no"))).alias("r0"), F.max(F.when(is_result, F.col("row_no"))).alias("r1"),
     )
     stray = F.col("r0").isNotNull() & (F.col("c0").isNull() | (F.col("r0") <= F.col("c0")) | F.col("call_id").isNull())
     unanswered = F.col("c1").isNotNull() & (F.col("r1").isNull() | (F.col("r1") <= F.col("c1")) | F.col("call_id").isNull())
-    with_ids = by_id.join(without.filter("not no_ids"), conv, "left_semi").select(*conv, F.when(stray, "stray result").when(unanswered, "unanswered call").alias("reason"))
+    with_ids = by_id.groupBy(*CONV).agg((F.count("call_id") > 0).alias("with_ids"), F.max(stray).alias("stray"), F.max(unanswered).alias("unanswered"))
     # no ids at all: a result takes the oldest open call; running sums per block, stitched over blocks
-    fifo = moves.join(without.filter("no_ids"), conv, "left_semi")
-    run = F.sum("step").over(Window.partitionBy(*conv, "block").orderBy("row_no", "step").rowsBetween(Window.unboundedPreceding, 0))
-    blocks = fifo.withColumn("run", run).groupBy(*conv, "block").agg(F.min("run").alias("low"), F.sum("step").alias("net"))
-    base = F.coalesce(F.sum("net").over(Window.partitionBy(*conv).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    queue = blocks.withColumn("low", F.col("low") + base).groupBy(*conv).agg(F.min("low").alias("low"), F.sum("net").alias("net"))
-    no_ids = queue.select(*conv, F.when(F.col("low") < 0, "stray result").when(F.col("net") > 0, "unanswered call").alias("reason"))
-    found = gaps.unionByName(empty).unionByName(open_end).unionByName(with_ids).unionByName(no_ids).filter("reason is not null")
-    return found.groupBy(*conv).agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-
-
-def rebuild(oh: DataFrame, pi: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(messages of whole conversations in order, broken conversations with reasons).
-
-    Null conversation or row numbers are left out; null roles and contents make a message without role or
-    content; results stand behind the call that they answer. Empty tables give empty results.
+    nameless = moves.filter("call_id is null")
+    run = F.sum("step").over(Window.partitionBy(*CONV, "block").orderBy("row_no", "step").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = nameless.withColumn("run", run).groupBy(*CONV, "block").agg(F.min("run").alias("low"), F.sum("step").alias("net"))
+    base = F.coalesce(F.sum("net").over(Window.partitionBy(*CONV).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    queue = blocks.withColumn("low", F.col("low") + base).groupBy(*CONV).agg(F.min("low").alias("q_low"), F.sum("net").alias("q_net"))
+    d = places.join(ends, CONV, "left").join(with_ids, CONV, "left").join(queue, CONV, "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    named = F.coalesce("with_ids", F.lit(False))
+    found = {
+        "gap": (F.col("low") != 1) | (F.col("n") < F.col("top")), "loop": F.col("loop"), "no closing answer": no(F.col("last.a") & F.col("last.has_content")), "no user content": no(F.col("asked")), "role order": F.col("disorder"),
+        "stray result": F.when(named, F.col("stray")).otherwise(F.col("q_low") < 0), "unanswered call": F.when(named, F.col("unanswered")).otherwise((F.col("q_low") >= 0) & (F.col("q_net") > 0)),
+    }
+    reasons = F.filter(F.array(*[F.when(c, F.lit(name)) for name, c in found.items()]), lambda x: x.isNotNull())
+    return d.select(*CONV, reasons.alias("reasons")).filter(F.size("reasons") > 0)
+
+
+def reasons_of(oh: DataFrame, pi: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sorted messages of all conversations, conversations with reasons)."""
+    rows = cut(message_rows(oh, pi))
+    messages = cut(ordered_messages(rows))
+    return messages, cut(conversation_reasons(rows, messages))
+
+
+def rebuild(oh: DataFrame, pi: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages of whole conversations in order with the ``flags`` of theirs, broken conversations with reasons).
+
+    A conversation is broken by a reason of ``INCOMPLETE``; one of ``IRREGULAR`` alone is a flag. Rows with a null
+    conversation or row number are left out; null roles and contents make a message without role or content. Empty
+    tables give empty results.
     """
-    rows = message_rows(oh, pi)
-    messages = cut(ordered_messages(rows, texts))
-    broken = broken_conversations(rows.select("tbl", "conv_id", "row_no"), messages)
-    broken = cut(broken) if texts else broken  # the messages of whole conversations are read several times
-    return messages.join(broken, ["tbl", "conv_id"], "left_anti"), broken
+    messages, reasons = reasons_of(oh, pi)
+    fatal = F.arrays_overlap("reasons", F.array(*map(F.lit, INCOMPLETE)))
+    broken = reasons.filter(fatal)
+    flags = reasons.filter(~fatal).select(*CONV, F.col("reasons").alias("flags"))
+    whole = messages.join(broken, CONV, "left_anti").join(flags, CONV, "left")
+    return whole.withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))), broken
 
 
 def answered_calls(messages: DataFrame) -> DataFrame:
@@ -256,19 +270,28 @@ def answered_calls(messages: DataFrame) -> DataFrame:
     return pairs.select(*conv, "row_no", "at", F.nullif("call_id", F.lit("")).alias("call_id"), F.coalesce(F.get("rows", F.lit(0)), "next_row").alias("result_row"), F.expr("slice(rows, 2, greatest(size(rows) - 1, 0))").alias("further_rows"))
 
 
-def with_results(messages: DataFrame) -> DataFrame:
-    """Ordered turns; every call carries its result: (tbl, conv_id, block, ord, role, text, calls array).
+def _visible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = [b.column(c) for c in (*CONV, "row_no")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([content_parts(c)[0] for c in b.column("content").to_pylist()], pa.string())], names=[*CONV, "row_no", "text"])
+
+
+def with_results(messages: DataFrame, oh: DataFrame, pi: DataFrame) -> DataFrame:
+    """Ordered turns; every call carries its result: (tbl, conv_id, ord, row_no, rec_id, role, text, on_loop, flags, calls).
 
-    ``further`` of a call holds the results that its id got besides the first.
+    ``further`` of a call holds the results that its id got besides the first. Visible text only: thinking and calls
+    are no text.
     """
-    conv = ["tbl", "conv_id"]
-    pairs = answered_calls(messages).select(*conv, "row_no", "at", "call_id", F.posexplode_outer(F.concat(F.array("result_row"), F.coalesce("further_rows", F.array().cast("array<bigint>")))).alias("nth", "result_row"))
-    texts = messages.filter("role = 'tool'").select(*conv, F.col("row_no").alias("result_row"), F.col("text").alias("result"))
-    pairs = pairs.join(texts, [*conv, "result_row"], "left")
+    contents = _recorded(oh, pi).filter("is_message and content is not null").select(*CONV, "row_no", "content").dropDuplicates([*CONV, "row_no"])
+    texts = contents.mapInArrow(_visible, "tbl string, conv_id string, row_no long, text string")
+    pairs = answered_calls(messages).select(*CONV, "row_no", "at", "call_id", F.posexplode_outer(F.concat(F.array("result_row"), F.coalesce("further_rows", F.array().cast("array<bigint>")))).alias("nth", "result_row"))
+    results = messages.filter("role = 'tool'").select(*CONV, "row_no").join(texts, [*CONV, "row_no"]).select(*CONV, F.col("row_no").alias("result_row"), F.col("text").alias("result"))
+    pairs = pairs.join(results, [*CONV, "result_row"], "left")
     first = F.col("nth") == 0
-    calls = pairs.groupBy(*conv, "row_no", "at").agg(
+    calls = pairs.groupBy(*CONV, "row_no", "at").agg(
         F.max("call_id").alias("call_id"), F.max(F.when(first, F.col("result_row"))).alias("result_row"), F.max(F.when(first, F.col("result"))).alias("result"),
         F.array_sort(F.collect_list(F.when(~first, F.struct("result_row", "result")))).alias("further"),
     )
-    calls = calls.groupBy(*conv, "row_no").agg(F.sort_array(F.collect_list(F.struct("at", "call_id", "result_row", "result", "further"))).alias("calls"))
-    return messages.select(*conv, "block", "ord", "row_no", "rec_id", "role", "text", "on_loop").join(calls, [*conv, "row_no"], "left")
+    calls = calls.groupBy(*CONV, "row_no").agg(F.sort_array(F.collect_list(F.struct("at", "call_id", "result_row", "result", "further"))).alias("calls"))
+    turns = messages.select(*CONV, "ord", "row_no", "rec_id", "role", "on_loop", "flags").join(texts, [*CONV, "row_no"], "left")
+    return turns.join(calls, [*CONV, "row_no"], "left").select(*CONV, "ord", "row_no", "rec_id", "role", "text", "on_loop", "flags", "calls")

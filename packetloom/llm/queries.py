@@ -13,14 +13,23 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "documents").select("doc_id", "text")
 
 
+def _messages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    _, broken = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"), texts=False)
+    _, broken = conversations.rebuild(*_messages(spark, sf))
     return broken.select("tbl", "conv_id")
 
 
+def p1_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Every conversation with a reason to drop it or with a loop or roles out of order."""
+    return conversations.reasons_of(*_messages(spark, sf))[1]
+
+
 def p1_conversations(spark: SparkSession, sf: str) -> DataFrame:
-    messages, _ = conversations.rebuild(read_table(spark, sf, "oh_rows"), read_table(spark, sf, "pi_rows"))
-    return conversations.with_results(messages)
+    messages, _ = conversations.rebuild(*_messages(spark, sf))
+    return conversations.with_results(messages, *_messages(spark, sf))
 
 
 _EVENT = ["session_id", "event_id"]
@@ -68,7 +77,7 @@ def p9_masked(spark: SparkSession, sf: str) -> DataFrame:
     return pii.replace_items(_documents(spark, sf), pii.field_for(read_table(spark, sf, "contributors")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_pieces, p4_found, p4_masked, p7_ids, p8_containers, p8_found, p9_found, p9_masked)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reasons, p1_conversations, p2_found, p2_pieces, p4_found, p4_masked, p7_ids, p8_containers, p8_found, p9_found, p9_masked)}
 ORACLE: dict[str, str] = {
     "p2_found": "SELECT DISTINCT session_id, event_id FROM trace_events WHERE length(text) // 4 > 1024",
 }

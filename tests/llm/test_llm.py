@@ -25,7 +25,7 @@ def oh(spark, convs):
 
 def broken(spark, convs, pi_rows=()):
     _, b = conversations.rebuild(oh(spark, convs), spark.createDataFrame(list(pi_rows), PI))
-    return {r["conv_id"]: set(r["reasons"]) for r in b.collect()}
+    return {r["conv_id"]: set(r["reasons"]) - set(conversations.IRREGULAR) for r in b.collect()}
 
 
 def test_conversations(spark):
@@ -55,9 +55,11 @@ def test_conversations_pi_blocks_and_loops(spark):
         ("p", 3, "message", "a", "u", t, "assistant", '[{"type":"thinking","thinking":"h"},{"type":"toolCall","id":"c1","name":"n","arguments":{}}]', None, None),
         ("p", 4, "message", "r", "a", t, "toolResult", "[1] out", "c1", None), ("p", 5, "message", "z", "z", t, "assistant", '[{"type":"text","text":"ok"}]', None, None),
     ]
-    messages, b = conversations.rebuild(oh(spark, {}), spark.createDataFrame(rows, PI))
+    tables = oh(spark, {}), spark.createDataFrame(rows, PI)
+    messages, b = conversations.rebuild(*tables)
     assert b.count() == 0
-    turns = conversations.with_results(messages).orderBy("ord").collect()
+    turns = conversations.with_results(messages, *tables).orderBy("ord").collect()
+    assert {tuple(x["flags"]) for x in turns} == {("loop",)}
     assert [x["row_no"] for x in turns if x["on_loop"]] == [5]
     assert [c["result"] for x in turns if x["calls"] for c in x["calls"]] == ["[1] out"]
 
@@ -94,16 +96,48 @@ def test_calls_without_or_with_repeated_ids_get_their_results(spark, monkeypatch
         convs[name], wanted[name] = [(a, role, x, r, c) for a, x, role, c, r in rows], want(rows)
     for block in (4096, 3):
         monkeypatch.setattr(conversations, "BLOCK", block)
-        messages, b = conversations.rebuild(oh(spark, convs), spark.createDataFrame([], PI))
+        tables = oh(spark, convs), spark.createDataFrame([], PI)
+        messages, b = conversations.rebuild(*tables)
         assert b.count() == 0
         got = {}
-        for x in conversations.with_results(messages).collect():
+        for x in conversations.with_results(messages, *tables).collect():
             for c in x["calls"] or []:
                 got.setdefault(x["conv_id"], {})[x["row_no"], c["at"]] = [c["result_row"], *(f["result_row"] for f in c["further"])]
                 assert c["result"] == f"x{c['result_row']}" and all(f["result"] == f"x{f['result_row']}" for f in c["further"])
         assert got == wanted
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_order_is_that_of_one_heap_whatever_the_blocks(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    base = datetime.datetime(2026, 1, 1)
+    rows, links, when = [], [], []
+    for n in range(1, 41):
+        kind = r.random()
+        up = None if kind < 0.3 or n == 1 else f"i{r.randint(1, 40)}" if kind < 0.45 else "gone" if kind < 0.5 else f"i{r.randint(max(1, n - 4), n - 1)}"
+        ts = None if r.random() < 0.2 else base + datetime.timedelta(seconds=r.randint(0, 30))
+        when.append(ts or (when[-1] if when else datetime.datetime(1970, 1, 1)))
+        links.append(n - 2 if up is None else -1 if up == "gone" else int(up[1:]) - 1)
+        rows.append(("p", n, "message", f"i{n}", up, ts, "user" if n == 1 else "assistant", "x", None, None))
+    order, loose = conversations.kahn(links, [(t, i) for i, t in enumerate(when)])
+    for block in (2, 7, 4096):
+        monkeypatch.setattr(conversations, "BLOCK", block)
+        messages, b = conversations.rebuild(oh(spark, {}), spark.createDataFrame(rows, PI))
+        got = messages.orderBy("ord").collect()
+        assert [x["row_no"] - 1 for x in got if not x["on_loop"]] == order and {x["row_no"] - 1 for x in got if x["on_loop"]} == loose
+        assert ("loop" in got[0]["flags"]) == bool(loose) and b.count() == 0
+
+
+def test_loop_through_blocks_and_roles_out_of_order_are_reported(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "BLOCK", 4)
+    t = datetime.datetime(2026, 1, 1)
+    ring = [("r", n, "message", f"i{n}", f"i{n % 9 + 1}", t, "user" if n % 2 else "assistant", "x", None, None) for n in range(1, 11)]
+    convs = {"twice": [(1, "user", "a", None, None), (2, "user", "b", None, None), (3, "assistant", "c", None, None)], "fine": [(1, "user", "a", None, None), (2, "assistant", "c", None, None)]}
+    _, reasons = conversations.reasons_of(oh(spark, convs), spark.createDataFrame(ring, PI))
+    got = {x["conv_id"]: x["reasons"] for x in reasons.collect()}
+    assert got == {"r": ["loop"], "twice": ["role order"]}
+
+
 def test_every_line_that_matches_is_scanned():
     v = "Zk8mQ2xR7tLw9PbV4nHs"
     lines = [f'"token": "{v}"', f'"accessToken" : "{v}"', f"token = '{v}'", f"storageKey = '{v}'", f"accessKey = '{v}'", f'"pass": "{v}"', f"pass = '{v}'", f'key_prod = "{v}"', f"<token>{v}</token>", f"run --auth {v}", f"mariadb -u x -p{v}", f"curl\t-u me:{v} host"]

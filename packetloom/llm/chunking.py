@@ -113,15 +113,15 @@ def _slices(keys: list[str]):
 def split_oversized(items: DataFrame, keys: list[str], text: str = "text", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """Pieces of every item above ``limit`` tokens (code points div 4), others are left out.
 
-    Result: keys, piece_no, start, stop (code points), token_cost, boundary, text. Items are merged by key, of which
-    any may be null; null and empty texts have no pieces; other columns are ignored. Every code point of an item is
+    Result: keys, piece_no, start, stop (code points), token_cost, boundary, text. Items are merged by key (repeats equal
+    the first), of which any column may be null; null and empty texts have no pieces; other columns are ignored. Every code point of an item is
     in a piece; pieces are within the limit. Short texts are left in the scan; only ranges of long ones are spread.
     """
     types = dict(items.dtypes)
     named = items.select(*keys, F.col(text).alias("text"), F.length(text).cast("long").alias("total"))
-    long = named.filter(F.col("total") >= (limit + 1) * PER_TOKEN).dropDuplicates(keys)
+    long = named.filter(F.col("total") >= (limit + 1) * PER_TOKEN)
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    slices = long.mapInArrow(_slices(keys), key_schema + ", total long, range_no int, base long, slice string").repartition(*keys, "range_no")
+    slices = long.mapInArrow(_slices(keys), key_schema + ", total long, range_no int, base long, slice string").dropDuplicates([*keys, "range_no"])
     most = limit * PER_TOKEN + PER_TOKEN - 1
     pieces = slices.mapInPandas(_plan_ranges(keys, most, overlap * PER_TOKEN), key_schema + ", " + PIECES)
     return numbered(_in_range(pieces, keys), keys)

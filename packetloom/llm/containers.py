@@ -4,8 +4,8 @@ Sizes are whole numbers up to the capacity, so all items of a size are alike and
 sorted items and gaps are held as counts and as intervals of container numbers, whose number depends on the
 capacity and not on the data. Each round takes the items of one size, largest first, sweeps the gaps for the
 successor (the least gap that fits), fills as many containers at once as items or gaps allow, in rank order, and
-files the changed gaps for the later rounds. The items get their global rank within their size by distributed
-prefix counts over buckets, so a size that a third of all rows share is not gathered in one task, and find their
+files the changed gaps for the later rounds. The items are range-sorted and get their global rank within their size
+by prefix counts over partitions, so a size that a third of all rows share is spread over many tasks, and find their
 container in the finished plan by rank.
 """
 
@@ -16,13 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.runtime import cut
+from packetloom.runtime import cut, ranked
 
 CAPACITY = 2048
-BUCKETS = 128  #: parts of one size for ranking
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -104,7 +103,7 @@ def _place(plan: list[tuple[int, int, int, int, int]], key: str):
     return run
 
 
-def fill_containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def fill_containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
     """Assign items to containers of ``capacity``; only items above it are divided.
 
     ``sizes``: key and n_tokens BIGINT (null counts as 0); other columns are ignored, equal rows are items of
@@ -113,12 +112,8 @@ def fill_containers(sizes: DataFrame, key: str = "doc_id", capacity: int = CAPAC
     """
     kind = sizes.schema[key].dataType.simpleString()
     items = divide(sizes.select(key, F.coalesce(F.col("n_tokens"), F.lit(0)).cast("long").alias("n_tokens")), key, capacity)
-    items = items.withColumn("bucket", F.pmod(F.xxhash64(key, "piece_no"), F.lit(buckets)))
-    parts = cut(items.groupBy("size", "bucket").agg(F.count("*").alias("n")))
-    counts = {r["size"]: r["n"] for r in parts.groupBy("size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    items = cut(items)
+    counts = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     plan, _ = plan_best_fit(counts, capacity)
-    before = parts.select("size", "bucket", (F.sum("n").over(Window.partitionBy("size").orderBy("bucket")) - F.col("n")).alias("base"))
-    local = F.row_number().over(Window.partitionBy("size", "bucket").orderBy(key, "piece_no")) - 1
-    ranked = items.withColumn("local", local).join(before, ["size", "bucket"])  # partitioned alike for the window already
-    ranked = ranked.select(key, "piece_no", "start", "size", (F.col("base") + F.col("local")).alias("rank"))
-    return ranked.mapInArrow(_place(plan, key), f"`{key}` {kind}, piece_no int, start long, size long, container_id long, container_offset long")
+    placed = ranked(items, ["size"], [key, "piece_no"], "rank").select(key, "piece_no", "start", "size", "rank")
+    return placed.mapInArrow(_place(plan, key), f"`{key}` {kind}, piece_no int, start long, size long, container_id long, container_offset long")

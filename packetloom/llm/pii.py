@@ -20,7 +20,7 @@ from packetloom.llm.crf import CRF, Features, spans_in, tokens_of
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
-TRAIN_ROWS = 3_200  #: labelled rows for training
+TRAIN_ROWS = 4_600  #: labelled rows for training
 TRAIN_PEOPLE = 2_000  #: names of the list that are used at most
 MEMO_LINES = 200_000  #: line patterns a worker remembers
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}

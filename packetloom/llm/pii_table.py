@@ -267,6 +267,25 @@ GIVEN = ("Arlo", "Benita", "Cedric", "Dorothea", "Elif", "Farid", "Greta", "Hugo
 FAMILY = ("Abernal", "Brookvane", "Castelmar", "Dunwick", "Eskelund", "Farrowby", "Grunholt", "Hartenshaw", "Iverlund", "Jastrow", "Kestermann", "Lundgrave", "Montvert", "Nordquill", "Oakenshaw", "Pelletrin", "Rosenfeldt", "Sturmholt", "Thornmarek", "Vandermoor", "von Adlerhof", "de la Roche", "O'Harrowen", "Smith-Vane", "D'Astelle", "van Eskholt", "Thorn-Marrow", "d'Orvane")
 
 
+# contexts put together from common words, so that an item is known by itself where its surroundings are new
+LEADS = (
+    "reported by|credit to|approved by|talked with|a question from|sent by|worked with|spoke to|opened by|on behalf of|according to|written by|I asked|contact|call|tell|find|because|when|after|until|then|so|that|but|and|if|"
+    "we heard from|it was|this is|she met|he called|they know|back to|only for|now with|use|try|see|write to|mail|dial|phone|number|send it to|bring it to|von|mit|für|wegen|de|avec|pour|con|para|según|the owner is|"
+    "the contact is|last seen at|changed to|set it to|was|is|are|has|had|to|for|by|at|with|from|in|on|of|not|also|still"
+).split("|")
+TRAILS = (
+    "yesterday|this week|left the team|fixed it|agreed|will look|and the others|did not answer|about the outage|has the details|was right|before lunch|at noon|on Friday|if needed|again|in the morning|wants it|knows more|"
+    "thinks so|asked for it|is away|is back|or nobody|today|heute|morgen|demain|mañana|und|et|y|and|or|so the test fails|to the list|from the file|in the log|was changed|is wrong|is not valid|has no answer|please|now|first|then"
+).split("|")
+TITLES = "Change Advisory Board|Build Server|Quality Gate|Support Team|Data Platform|Search Index|Release Manager|Night Build|Staging Cluster|Python Core|Visual Studio|Issue Tracker|Main Branch|Pull Request|Design Review|User Guide|Api Gateway|New York|Load Balancer|Blue Team".split("|")
+SYLLABLES = "ba be bo bra da den do el fa fer ga gra hal han hol in ja jo ka kel la len li lo ma mar me mi na nel no ol or pa per ra ri ro sa sel so ta tes to va vel vi wa wen win yo za".split()
+GENERIC_SHARE = 0.3  #: of the rows
+
+
+def _invented(r: random.Random) -> str:
+    return "".join(r.choice(SYLLABLES) for _ in range(r.randint(2, 4))).capitalize()
+
+
 def _digits(text: str, r: random.Random) -> str:
     return re.sub(r"[#*]", lambda m: r.choice("0123456789") if m.group() == "#" else r.choice("ABCDEFGHJKLMNPRSTWXYZ"), text)
 
@@ -347,7 +366,36 @@ def filled(names: list[tuple[str, str]], rows: int, seed: int = 7) -> list[tuple
     def joined(a, b, sep):
         return a[0] + sep + b[0], a[1] + [(x + len(a[0] + sep), y + len(a[0] + sep), k) for x, y, k in b[1]]
 
+    def plain(n: int) -> str:
+        return " ".join(_invented(r).lower() for _ in range(n))
+
+    def generic():
+        """One item, or a title that is none, among common or invented words."""
+        known = r.random() < 0.7
+        lead, trail = (r.choice(LEADS), r.choice(TRAILS)) if known else (plain(r.randint(1, 3)), plain(r.randint(1, 3)))
+        lead = r.choice((lead, lead, lead.capitalize(), f"{r.choice(WORDS)} {lead}", f"{plain(1)} {lead}", ""))
+        kind = r.choice(("name", "name", "email", "phone", "id_number", "address", None))
+        given, family = _invented(r), _invented(r)
+        if kind == "name":
+            value = r.choice((f"{given} {family}", f"{given} {family}", f"{given} {family}", f"{given[0]}. {family}", f"{given} {r.choice('ABLM')}. {family}"))
+        elif kind == "email":
+            user = r.choice((f"{given}.{family}", f"{given}_{family}", f"{given[0]}.{family}", f"{given}{r.randint(1, 99)}", f"{given[0]}_{family}+{plain(1)}", f"{family}", f"{given}-{family}")).lower()
+            value = f"{user}@" + r.choice((f"{plain(1)}.example", f"{plain(1)}-{plain(1)}.test", f"mail.{plain(1)}.example", f"{plain(1)}.com", f"{plain(1)}.org"))
+        elif kind == "phone":
+            value = _digits(r.choice((*PHONES, "555-01##-###", "### #### ####", "+## ## ## ## ## ##", "+## ## #### ####")), r)
+        elif kind == "id_number":
+            value = _digits(r.choice((*IDS, "passport no. *########", "social security number ### ## ####", "Sozialversicherungsnummer ## ###### * ###", "n° de sécurité sociale # ## ## ## ### ### ##", "licence no. *##-###-###-###")), r)
+        elif kind == "address":
+            value = f"{r.randint(1, 1400)} {_invented(r)} {r.choice(KINDS_OF_STREET + ('Crescent', 'Terrace', 'Way', 'Place'))}" if r.random() < 0.5 else make_address(r)
+        else:
+            value = r.choice(TITLES) if r.random() < 0.6 else words(r.choice(("the @W @W", "@W @w", "@w@W", "v#.#.#", "@W-####", "@w/@w", "##:##:##", "########", "@w_@w")))
+        head, tail = lead + (" " if lead else ""), r.choice(("", f" {trail}", f", {trail}", f" {trail}."))
+        return head + value + tail, [(len(head), len(head) + len(value), kind)] if kind else []
+
     while len(out) < rows:
+        if r.random() < GENERIC_SHARE:
+            out.append(generic())
+            continue
         t = r.random()
         if t < 0.42:
             row = one(r.choice(POSITIVE))

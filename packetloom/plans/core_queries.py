@@ -10,8 +10,7 @@ from packetloom.runtime import cut, first_rows, read_table
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    changes = drift.schema_changes(read_table(spark, sf, "transcript_lines"))
-    return changes.filter("level = 0").select("project_key", "file_no", "change_kind", "field", "new_field")
+    return drift.top_level(p3_scripts(spark, sf)).select("project_key", "file_no", "change_kind", "field", "new_field")
 
 
 def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,7 +18,7 @@ def p3_unified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_scripts(spark: SparkSession, sf: str) -> DataFrame:
-    return drift.schema_changes(read_table(spark, sf, "transcript_lines"))
+    return drift.schema_changes(read_table(spark, sf, "transcript_lines")).drop("old_path", "new_path")
 
 
 def _links(spark: SparkSession, sf: str) -> DataFrame:

@@ -189,3 +189,25 @@ def test_assignment_is_optimal():
         c = r.random((n, n))
         best = min(sum(c[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
         assert abs(sum(c[i, j] for i, j in drift.assign(c)) - best) < 1e-9
+
+
+def test_moves_arrays_and_deep_levels_are_in_the_script(spark):
+    deep = lambda v, leaf: {"a": {"b": {"c": {"d": {"e": {leaf: v}}}}}}
+    files = {
+        ("p", 1): [json.dumps({"a": {"x": "val-1", "keep": 1}, "b": {"keep": 2}, "c": [{"t": "same"}], **{"z": deep("q-9", "old")}})],
+        ("p", 2): [json.dumps({"a": {"keep": 1}, "b": {"x": "val-1", "keep": 2}, "c": [{"u": "same"}], **{"z": deep("q-9", "new")}})],
+        ("p", 3): [json.dumps({"a": {"keep": 1}, "b": {"keep": 2}, "x": "val-1", "c": [{"u": 5}], **{"z": deep("q-9", "new")}})],
+    }
+    rows = drift.schema_changes(lines(spark, files))
+    got = {(r["file_no"], r["change_kind"], r["field"], r["new_field"]) for r in rows.collect()}
+    assert got == {
+        (2, "moved", "a.x", "b.x"), (2, "renamed", "c[].t", "c[].u"), (2, "renamed", "z.a.b.c.d.e.old", "z.a.b.c.d.e.new"), (3, "moved", "b.x", "x"), (3, "retyped", "c[].u", ""),
+    }
+    assert [(r["file_no"], r["change_kind"], r["field"]) for r in drift.top_level(rows).collect()] == [(3, "added", "x")]
+
+
+def test_moved_and_wrapped_values_are_read_and_kept(spark):
+    catalog = spark.createDataFrame([("kind", "string"), ("x", "string")], "field_name string, json_type string")
+    files = {("p", 1): [json.dumps({"a": {"x": "v1"}, "kind": {"k": "user"}})], ("p", 2): [json.dumps({"a": {}, "x": "v1", "kind": "user"})]}
+    got = {r["file_no"]: (r["kind"], r["x"], json.loads(r["other_fields"] or "{}"), json.loads(r["wrapped_values"] or "{}")) for r in drift.unify(lines(spark, files), catalog).collect()}
+    assert got == {1: ("user", "v1", {"a": {"x": "v1"}}, {"kind": {"k": "user"}}), 2: ("user", "v1", {"a": {}}, {})}

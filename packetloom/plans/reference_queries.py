@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
 from packetloom.operators import closure, events, metrics, packing, retrieval, scope
-from packetloom.operators.hierarchy import resolve_hierarchy
 from packetloom.runtime import cut, first_rows, read_table, round6
 
 BUDGET = 2_048
@@ -296,13 +295,6 @@ def term_frequency(spark, sf):
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).filter("df between 2 and 8")
 
 
-@query()
-def fact_density(spark, sf):
-    d = read_table(spark, sf, "trace_events").filter("kind = 'user'")
-    s = first_rows(d, ["session_id", "event_id"]).select("session_id", "event_id", F.posexplode(F.split(F.col("text"), r"\n+|(?<=[.!?])\s+(?=[\"'(\[]?[A-Z0-9])")).alias("unit_no", "unit"))
-    return s.select("session_id", "event_id", "unit_no", round6(T.fact_density(F.col("unit"))).alias("density")).filter("density > 0")
-
-
 ARMS = f"""{EV}, gold AS (SELECT session_id, event_id FROM ev WHERE kind = 'decision'), ta AS (SELECT session_id, event_id FROM (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS u FROM ev) WHERE u <= {BUDGET}),
  tb AS (SELECT session_id, event_id FROM (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY cost, pos ROWS UNBOUNDED PRECEDING) AS u FROM ev) WHERE u <= {BUDGET}),
  j AS (SELECT g.session_id, g.event_id, ta.event_id IS NOT NULL AS a, tb.event_id IS NOT NULL AS b FROM gold g LEFT JOIN ta ON g.session_id = ta.session_id AND g.event_id = ta.event_id LEFT JOIN tb ON g.session_id = tb.session_id AND g.event_id = tb.event_id)"""

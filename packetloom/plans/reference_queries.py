@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
-from packetloom.operators import closure, events, metrics, packing, retrieval, scope
+from packetloom.operators import closure, events, metrics, packing, retrieval
 from packetloom.runtime import cut, first_rows, read_table, round6
 
 BUDGET = 2_048
@@ -36,16 +36,30 @@ def _costed(spark: SparkSession, sf: str) -> DataFrame:
 
 EV = """ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos, coalesce(length(text) // 4, 0) AS cost FROM
  (SELECT DISTINCT session_id, event_id, kind, text, coalesce(ts, 0) AS ts, step_id, tool_call_id, atomic_group FROM trace_events))"""
-PATHS = r"list_distinct(list_filter(regexp_extract_all(text, '(?:[\w.\-]+/)+[\w.\-]+\.(?:py|md|sh|json|jsonl|txt|csv|yaml|yml|tsv|png)'), lambda v: length(v) BETWEEN 6 AND 120))"
+_B = r"[^\p{L}\p{N}_.\-]"
+_W = r"[\p{L}\p{N}_.\-]"
+
+
+def _values_sql(pattern: str, inner: str) -> str:
+    """Whole values of one type; letters between values are doubled so that neighbours do not share their border."""
+    return f"list_filter(list_distinct(regexp_extract_all(regexp_replace(text, '([^\\p{{L}}\\p{{N}}_.\\-{inner}])', '\\1\\1', 'g'), '(?:^|{_B})({pattern})(?:$|{_B})', 1)), lambda v: length(v) BETWEEN 6 AND 120)"
+
+
+_EXTENSIONS = "py|md|sh|json|txt|csv|yaml|yml|tsv|png"
+VALUES = (
+    ("path", f"list_filter({_values_sql(f'(?:{_W}+/)+{_W}+[.](?:{_EXTENSIONS})', '/')}, lambda v: NOT regexp_matches(v, '[.](?:{_EXTENSIONS}|jsonl)/'))"),
+    ("fileline", _values_sql(r"[\p{L}\p{N}_./\-]+[.](?:py|sh|md|json|txt):[0-9]{1,6}", "/:")),
+    ("hash", _values_sql("[0-9a-f]{8,40}", "")), ("number", _values_sql(r"[0-9]{3,10}(?:[.][0-9]+)?", "")), ("version", _values_sql(r"[0-9]+[.][0-9]+[.][0-9]+", "")),
+)
 RESULT_OF = """ro AS (SELECT r.session_id, r.event_id AS src_id, c.event_id AS dst_id, 'RESULT_OF' AS edge_type, CAST(NULL AS VARCHAR) AS predicate FROM ev r JOIN
  (SELECT session_id, tool_call_id, arg_min(event_id, pos) AS event_id, min(pos) AS pos FROM ev WHERE kind = 'tool_call' AND tool_call_id IS NOT NULL GROUP BY ALL) c
  ON r.session_id = c.session_id AND r.tool_call_id = c.tool_call_id AND c.pos < r.pos WHERE r.kind = 'tool_result')"""
-DEPENDS = f"""vals AS (SELECT session_id, event_id, pos, kind, unnest({PATHS}) AS value FROM ev WHERE kind IN ('assistant', 'tool_call', 'tool_result')),
- rare AS (SELECT session_id, value, count(*) AS n_src FROM vals WHERE kind = 'tool_result' GROUP BY ALL HAVING count(*) <= 3),
- near AS (SELECT c.session_id, c.event_id, c.value, n_src, max(s.pos) AS src_pos, arg_max(s.event_id, s.pos) AS src_event FROM vals c JOIN rare USING (session_id, value)
+DEPENDS = f"""vals AS (SELECT session_id, event_id, pos, kind, value, min(type_no) AS type_no FROM ({' UNION ALL '.join(f"SELECT session_id, event_id, pos, kind, unnest({sql}) AS value, {n} AS type_no FROM ev WHERE kind IN ('assistant', 'tool_call', 'tool_result')" for n, (_, sql) in enumerate(VALUES))}) GROUP BY ALL),
+ rare AS (SELECT session_id, value, count(*) FILTER (WHERE kind = 'tool_result') AS n_src, min(pos) FILTER (WHERE kind = 'tool_result') AS first_src, min(pos) FILTER (WHERE kind <> 'tool_result') AS first_use FROM vals GROUP BY ALL HAVING n_src BETWEEN 1 AND 3 AND first_use >= first_src),
+ near AS (SELECT c.session_id, c.event_id, c.value, c.type_no, n_src, max(s.pos) AS src_pos, arg_max(s.event_id, s.pos) AS src_event FROM vals c JOIN rare USING (session_id, value)
   JOIN vals s ON s.session_id = c.session_id AND s.value = c.value AND s.kind = 'tool_result' AND s.pos < c.pos WHERE c.kind <> 'tool_result' GROUP BY ALL),
- one AS (SELECT session_id, event_id, src_pos, src_event, min({{'n': n_src, 'v': value}}) AS v FROM near GROUP BY ALL),
- dv AS (SELECT session_id, event_id AS src_id, src_event AS dst_id, 'DEPENDS_ON' AS edge_type, v.v AS predicate FROM one QUALIFY row_number() OVER (PARTITION BY session_id, event_id ORDER BY v.n, src_pos DESC, v.v) <= 4)"""
+ one AS (SELECT session_id, event_id, src_pos, src_event, min({{'n': n_src, 't': [{', '.join(repr(t) for t in T.VALUE_TYPES)}][type_no + 1], 'v': value}}) AS v FROM near GROUP BY ALL),
+ dv AS (SELECT session_id, event_id AS src_id, src_event AS dst_id, 'DEPENDS_ON' AS edge_type, 'value:' || v.t AS predicate FROM one QUALIFY row_number() OVER (PARTITION BY session_id, event_id ORDER BY v.n, src_pos DESC, v.t, v.v) <= 4)"""
 MATERIAL = """mt AS (SELECT e.session_id, s.event_id AS src_id, e.event_id AS dst_id, 'MATERIALIZES' AS edge_type, 'summary' AS predicate FROM ev e JOIN
  (SELECT session_id, event_id, pos, coalesce(lag(pos) OVER (PARTITION BY session_id ORDER BY pos), -1) AS after FROM ev WHERE kind = 'summary') s
  ON e.session_id = s.session_id AND e.pos > s.after AND e.pos < s.pos WHERE e.kind <> 'summary')"""
@@ -90,11 +104,6 @@ def edges_depends_value(spark, sf):
     return events.depends_value(_ev(spark, sf))
 
 
-@query(f"WITH {EV}, {SUPER} SELECT h.session_id, h.predicate AS path, h.src_id AS latest, n.n_old FROM sp h JOIN (SELECT session_id, predicate, count(*) AS n_old FROM sp GROUP BY ALL) n USING (session_id, predicate) WHERE NOT EXISTS (SELECT 1 FROM sp o WHERE o.session_id = h.session_id AND o.dst_id = h.src_id)")
-def latest_states(spark, sf):
-    return events.latest_states(events.supersedes(_ev(spark, sf)))
-
-
 @query(f"""WITH {EV}, {RESULT_OF}, {DEPENDS}, {MATERIAL}, {SUPER}, e AS (SELECT {EDGE_COLUMNS} FROM ro UNION ALL SELECT {EDGE_COLUMNS} FROM dv UNION ALL SELECT {EDGE_COLUMNS} FROM mt UNION ALL SELECT {EDGE_COLUMNS} FROM sp)
  SELECT session_id, edge_type, count(*) AS n_edges, count(DISTINCT src_id) AS n_sources, count(DISTINCT dst_id) AS n_targets FROM e GROUP BY ALL""")
 def graph_edges(spark, sf):
@@ -248,26 +257,6 @@ def recall_packets(spark, sf):
     return packing.render(packing.first_fit(items, ["query_id"], ["rank"], "cost", RECALL_BUDGET), ["query_id"], "rank")
 
 
-IN_CONTEXT = "ic AS (SELECT e.* FROM ev e LEFT JOIN (SELECT session_id, max(pos) AS cut FROM ev WHERE kind = 'summary' GROUP BY 1) c ON e.session_id = c.session_id WHERE cut IS NULL OR pos >= cut)"
-NORM = r"trim(regexp_replace(coalesce(text, ''), '[ \t\r\n\f\x0b]+', ' ', 'g'))"
-
-
-@query(f"WITH {EV}, {IN_CONTEXT} SELECT session_id, event_id, pos FROM ic")
-def in_context(spark, sf):
-    return scope.in_context(_ev(spark, sf)).select("session_id", "event_id", "pos")
-
-
-@query(f"""WITH {EV}, {IN_CONTEXT}, seen AS (SELECT DISTINCT session_id, {NORM} AS norm FROM ic) SELECT e.session_id, e.event_id, e.pos FROM (SELECT *, {NORM} AS norm FROM ev) e ANTI JOIN ic ON e.session_id = ic.session_id AND e.event_id = ic.event_id
- ANTI JOIN (SELECT * FROM seen WHERE length(norm) >= 20) s ON e.session_id = s.session_id AND e.norm = s.norm WHERE kind <> 'summary'""")
-def searchable(spark, sf):
-    return scope.searchable(cut(_ev(spark, sf))).select("session_id", "event_id", "pos")
-
-
-@query(f"WITH {EV} SELECT e.session_id, e.event_id, e.pos FROM ev e LEFT JOIN (SELECT session_id, max(pos) AS stop FROM ev WHERE kind NOT IN ('assistant', 'summary') GROUP BY 1) s ON e.session_id = s.session_id WHERE kind = 'assistant' AND (stop IS NULL OR pos > stop)")
-def trailing_reply(spark, sf):
-    return scope.trailing_reply(_ev(spark, sf)).select("session_id", "event_id", "pos")
-
-
 def _redact_sql(c: str) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     for rx in T.REDACTIONS:

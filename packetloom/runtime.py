@@ -109,6 +109,24 @@ def prefix_sums(df: DataFrame, group: list[str], order: list[str], value: str, o
     return placed.withColumn("_inside", inside).join(parts, [*group, "_part"]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_part", "_inside", "_before")
 
 
+BLOCK = 4096  #: places that one window sorts
+
+
+def filled(df: DataFrame, column: str, out: str, back: bool = False, group: str = "session_id", pos: str = "pos", block: int = BLOCK) -> DataFrame:
+    """``df`` with the last value of ``column`` that is not null at or before a row's place (behind it, with ``back``).
+
+    Windows run over blocks of places and are stitched by the blocks' last values, so a group may hold most rows.
+    """
+    sign = -1 if back else 1
+    d = df.withColumn("_block", F.floor(F.col(pos) / block))
+    inside = Window.partitionBy(group, "_block").orderBy(sign * F.col(pos)).rowsBetween(Window.unboundedPreceding, 0)
+    blocks = d.groupBy(group, "_block").agg(F.max_by(column, F.when(F.col(column).isNotNull(), sign * F.col(pos))).alias("_last"))
+    before = Window.partitionBy(group).orderBy(sign * F.col("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(group, "_block", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    d = d.withColumn("_own", F.last(column, ignorenulls=True).over(inside)).join(carried, [group, "_block"])
+    return d.withColumn(out, F.coalesce("_own", "_carried")).drop("_block", "_own", "_carried")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
-from packetloom.operators import closure, events, metrics, packing, retrieval, scope
+from packetloom.operators import closure, events, graph, metrics, packing, retrieval
 
 
 def trace(spark, rows):
@@ -30,14 +30,42 @@ def test_supersedes_and_latest_state(spark):
     w = lambda i, t, p: (i, "tool_call", t, f'Write {{"file_path": "{p}"}}', None)
     e = events.supersedes(events.canonical(trace(spark, [w("w1", 1, "a.py"), w("w2", 2, "b.py"), w("w3", 3, "a.py"), w("w4", 4, "a.py")])))
     assert {(r["src_id"], r["dst_id"]) for r in e.collect()} == {("w3", "w1"), ("w4", "w3")}
-    assert [(r["path"], r["latest"], r["n_old"]) for r in events.latest_states(e).collect()] == [("a.py", "w4", 2)]
+    ev = events.canonical(trace(spark, [w("w1", 1, "a.py"), w("w2", 2, "b.py"), w("w3", 3, "a.py"), w("w4", 4, "a.py")]))
+    assert {(r["event_id"], r["latest_id"], r["on_cycle"]) for r in graph.latest_state(ev, e).collect()} == {("w1", "w4", False), ("w3", "w4", False)}
+    fork = spark.createDataFrame([("s", "w2", "w1", "SUPERSEDES", None), ("s", "w3", "w1", "SUPERSEDES", None), ("s", "x", "y", "SUPERSEDES", None), ("s", "y", "x", "SUPERSEDES", None)], e.schema)
+    assert {(r["event_id"], r["latest_id"], r["on_cycle"]) for r in graph.latest_state(ev, fork).collect()} == {("w1", "w3", False), ("x", None, True), ("y", None, True)}
 
 
 def test_summary_materializes_events_since_the_previous_one(spark):
     rows = [("a", "user", 1, "", None), ("s1", "summary", 2, "", None), ("b", "user", 3, "", None), ("c", "assistant", 4, "", None), ("s2", "summary", 5, "", None), ("d", "user", 6, "", None)]
     ev = events.canonical(trace(spark, rows))
     assert {(r["src_id"], r["dst_id"]) for r in events.materializes(ev).collect()} == {("s1", "a"), ("s2", "b"), ("s2", "c")}
-    assert {r["event_id"] for r in scope.in_context(ev).collect()} == {"s2", "d"}
+    ev = ev.withColumn("meta", F.lit(None).cast("map<string,string>"))
+    assert {r["event_id"] for r in graph.in_context(ev, events.materializes(ev)).collect()} == {"s2", "d"}
+    listed = events.materializes(ev).filter("dst_id <> 'c'")  # what the last summary does not list stays in context
+    assert {r["event_id"] for r in graph.in_context(ev, listed).collect()} == {"c", "s2", "d"}
+
+
+def test_compaction_boundaries_gaps_and_preserved_ids(spark):
+    rows = spark.createDataFrame([("s", 3, "system", "compact_boundary", ["u2"]), ("s", 10, "system", "compact_boundary", None), ("s", 20, "system", "compact_boundary", None)], "session_id string, line_no long, type string, subtype string, preserved array<string>")
+    ev = spark.createDataFrame([("s", f"e{n}", n, f"u{n}", "summary" if n in (5, 14, 21) else "user") for n in (1, 2, 4, 5, 6, 14, 15, 19, 21, 30)], "session_id string, event_id string, line_no long, native_ref string, kind string")
+    got = {(r["src_id"], r["dst_id"]) for r in events.native_materializes(rows, ev).collect()}
+    assert got == {("e5", "e1"), ("e21", "e15"), ("e21", "e19")}  # line 14 is too far from its boundary
+
+
+def test_problems_carriers_and_restriction(spark):
+    ev = spark.createDataFrame([("s", "a", 0, "user"), ("s", "b", 1, "decision"), ("s", "b", 1, "decision")], "session_id string, event_id string, pos long, kind string")
+    e = spark.createDataFrame([("s", "a", "b", "DEPENDS_ON", None), ("s", "b", "gone", "DEPENDS_ON", None), ("s", "a", "a", "CONTROL", None)], "session_id string, src_id string, dst_id string, edge_type string, predicate string")
+    assert {(r["event_id"], r["problem"]) for r in graph.problems(ev, e).collect()} == {("b", "duplicate"), ("gone", "no target"), ("a", "self")}
+    try:
+        graph.check(ev, e)
+    except ValueError:
+        pass
+    else:
+        raise AssertionError
+    left, edges = graph.restrict(ev, e, ev.filter("kind = 'decision'"))
+    assert [r["event_id"] for r in left.collect()] == ["a"] and edges.count() == 1
+    assert {r["event_id"] for r in graph.carriers(ev, e).collect()} == {"b"}
 
 
 def test_fifo_with_underflow(spark):

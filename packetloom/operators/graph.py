@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import text as T
 from packetloom.operators.events import EDGE, result_of
 from packetloom.operators.hierarchy import resolve_hierarchy
-from packetloom.runtime import filled
+from packetloom.runtime import cut, filled
 
 EDGE_TYPES = ("RESULT_OF", "GROUNDED_IN", "DEPENDS_ON", "MATERIALIZES", "SUPERSEDES", "CONTROL", "TEMPORAL")
 STRONG = ("RESULT_OF", "GROUNDED_IN", "DEPENDS_ON", "MATERIALIZES", "SUPERSEDES")
@@ -146,6 +146,21 @@ def parsed_edges(replies: DataFrame, ev: DataFrame) -> DataFrame:
     return e.groupBy("session_id", "src_id", "dst_id").agg(F.min("predicate").alias("predicate"))
 
 
+def chain_depth(seeds: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """(session_id, depth): most value edges on a shortest way down from a session's seeds; the step from an output to its
+    call costs nothing. Depths end at ``most``."""
+    links = edges.filter("edge_type in ('DEPENDS_ON', 'RESULT_OF')").select("session_id", F.col("src_id").alias("event_id"), "dst_id", F.when(F.col("edge_type") == "DEPENDS_ON", 1).otherwise(0).alias("cost")).distinct()
+    known = cut(seeds.select(*KEY).distinct().withColumn("depth", F.lit(0)))
+    fresh = known
+    for _ in range(2 * most + 1):
+        step = fresh.join(links, KEY).select("session_id", F.col("dst_id").alias("event_id"), (F.col("depth") + F.col("cost")).alias("got")).filter(F.col("got") <= most).groupBy(*KEY).agg(F.min("got").alias("got"))
+        fresh = cut(step.join(known, KEY, "left").filter("depth is null or got < depth").select(*KEY, F.col("got").alias("depth")))
+        if fresh.isEmpty():
+            break
+        known = cut(known.join(fresh.select(*KEY), KEY, "left_anti").unionByName(fresh))
+    return known.groupBy("session_id").agg(F.max("depth").alias("depth"))
+
+
 # --- what is in a session's context ----------------------------------------------------------------------------
 
 

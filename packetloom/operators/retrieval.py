@@ -1,21 +1,30 @@
-"""Seed retrieval for many queries at once: BM25, recency, dense blocks, rank fusion."""
+"""Seed retrieval for many queries at once: BM25, recency, vectors, rank fusion, explicit references, identifier chase.
+
+``search`` and ``dense`` compare a stated query set with all rows in blocks: rows are cut into blocks, every block is held
+by one task as an index or a matrix, and the queries stream through it, so that neither rows nor queries are collected or
+broadcast; each block gives its best k rows a query.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
-from packetloom.runtime import cut, round6
+from packetloom.runtime import cut, ranked, round6, spread
 
 K1, B = 1.5, 0.75
 RRF_K = 60
+DIM = 256
 MAX_QUERY_TERMS = 100_000  #: (query, term) rows that may be broadcast; more are joined by shuffle
-MAX_QUERY_VECTORS = 20_000  #: query vectors that a worker multiplies in one block; more are taken in several
+BLOCK_ROWS = 32_768  #: rows of one block, as far as hashing spreads them
+PINS_PER_REFERENCE = 8
 
 
 def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -39,15 +48,22 @@ def bm25(docs: DataFrame, queries: DataFrame, keys: list[str], text: str = "text
 
 
 def top(scores: DataFrame, keys: list[str], k: int, by: str = "query_id") -> DataFrame:
-    """The k best of each query with contiguous ranks from 0; ties by key."""
+    """The k best of each query with contiguous ranks from 0; ties by key. Each task keeps k rows a query before the
+    shuffle (the bound on the row number is a group limit)."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), *keys)
-    return scores.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
+
+
+def full_ranks(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of each query with their rank, by a range sort; for lists of any length."""
+    return ranked(scores.withColumn("_down", -F.col("score")), ["query_id"], ["_down", *keys], "rank").drop("_down").withColumn("rank", F.col("rank").cast("int"))
 
 
 def last_n(ev: DataFrame, k: int) -> DataFrame:
     """Newest k events of each session, score 1 / (1 + rank)."""
     w = Window.partitionBy("session_id").orderBy(F.desc("ts"), "event_id")
-    return ev.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).withColumn("score", round6(1 / (1 + F.col("rank"))))
+    best = ev.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)  # a group limit: k rows a session and task are sorted
+    return best.withColumn("rank", F.col("rank") - 1).withColumn("score", round6(1 / (1 + F.col("rank"))))
 
 
 def fuse(lists: list[tuple[DataFrame, float]], keys: list[str], k: int) -> DataFrame:
@@ -59,30 +75,282 @@ def fuse(lists: list[tuple[DataFrame, float]], keys: list[str], k: int) -> DataF
     return top(both.groupBy("query_id", *keys).agg(round6(F.sum("s")).alias("score")), keys, k)
 
 
+def _best(score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores, ties by place; places are in order of the keys."""
+    if len(score) > k:
+        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
+    else:
+        at = np.arange(len(score))
+    return at[np.argsort(-score[at], kind="stable")[:k]]
+
+
+def _blocked(rows: DataFrame, queries: DataFrame, key: str, payload: list[str], search, k: int) -> DataFrame:
+    """(query_id, key, score, rank) of the k best rows of every query.
+
+    ``rows``: key and the payload columns; ``queries``: query_id and the same payload columns. ``search(index, q)`` gives
+    the scores of a block's rows for a query, ``search(None, rows)`` the index of a block.
+    """
+    kind, qkind = rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    a = rows.select(of.alias("block"), F.lit(0).alias("part"), F.col(key).alias("k"), F.lit(None).cast(qkind).alias("q"), *payload)
+    b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("part"), F.lit(None).cast(kind).alias("k"), F.col("query_id").alias("q"), *payload)
+    ordered = spread(a.unionByName(b), "block", at_least=min(n, 4096)).sortWithinPartitions("block", "part", "k", "q")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, keys, held, index = None, [], [], None
+        for batch in batches:
+            out: list[tuple] = []
+            cols = [batch.column(c).to_pylist() for c in ("block", "part", "k", "q", *payload)]
+            for blk, part, key_, q, *data in zip(*cols):
+                if blk != block:
+                    block, keys, held, index = blk, [], [], None
+                if part == 0:
+                    keys.append(key_)
+                    held.append(data)
+                    continue
+                if index is None:
+                    index, held = (search(None, held), held)
+                if keys:
+                    score = np.round(search(index, data), 6) + 0.0
+                    out += [(q, keys[i], float(score[i])) for i in _best(score, k)]
+            if out:
+                x, y, z = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(x, _arrow(qkind)), pa.array(y, _arrow(kind)), pa.array(z, pa.float64())], names=["query_id", key, "score"])
+
+    return top(ordered.mapInArrow(run, f"query_id {qkind}, `{key}` {kind}, score double"), [key], k)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+def _bm25_search(index, data):
+    if index is None:
+        postings: dict[str, list] = {}
+        for i, (terms, weights) in enumerate(data):
+            for t, w in zip(terms or (), weights or ()):
+                p = postings.setdefault(t, [[], []])
+                p[0].append(i)
+                p[1].append(w)
+        return len(data), {t: (np.array(i), np.array(w)) for t, (i, w) in postings.items()}
+    score = np.zeros(index[0])
+    for t, w in zip(data[0] or (), data[1] or ()):
+        p = index[1].get(t)
+        if p is not None:
+            score[p[0]] += p[1] * w
+    return score
+
+
+def search(docs: DataFrame, queries: DataFrame, key: str, k: int, text: str = "text") -> DataFrame:
+    """(query_id, key, score, rank): BM25 over whole texts for a query set of any size.
+
+    Query terms count with their multiplicity; null and empty texts count as documents; documents without a term of
+    the query have score 0 and follow by key. Only the query set's terms are weighed.
+    """
+    d = docs.select(key, T.terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    n = d.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    tf = d.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    weighed = tf.crossJoin(F.broadcast(n)).groupBy(key).agg(F.collect_list("term").alias("terms"), F.collect_list(norm).alias("weights"))  # n is one row
+    rows = docs.select(key).join(weighed, key, "left")
+    q = queries.select("query_id", F.explode(T.terms(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("qtf")
+    asked = q.join(df, "term").crossJoin(F.broadcast(n)).groupBy("query_id").agg(F.collect_list("term").alias("terms"), F.collect_list(idf).alias("weights"))
+    return _blocked(rows, queries.select("query_id").join(asked, "query_id", "left"), key, ["terms", "weights"], _bm25_search, k)
+
+
+def _dense_search(index, data):
+    if index is None:
+        dim = max((len(v[0]) for v in data if v[0] is not None), default=0)
+        m = np.array([v[0] if v[0] is not None and len(v[0]) == dim else [0.0] * dim for v in data], dtype=np.float64).reshape(len(data), dim)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    v = np.array(data[0] if data[0] is not None else [], dtype=np.float64)
+    if len(v) != index.shape[1]:
+        return np.zeros(len(index))
+    return index @ (v / max(np.linalg.norm(v), 1e-300))
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score, rank): cosine top k of each query over all rows, in blocks of queries and rows.
+    """(query_id, key, score, rank): cosine top k of each query over all rows. A vector that is null, empty, zero or of
+    another length has cosine 0."""
+    q = queries.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    return _blocked(vectors.select(key, F.col(vector).cast("array<double>").alias("v")), q, key, ["v"], _dense_search, k)
+
+
+# --- vectors from texts -----------------------------------------------------------------------------------------------
+
+
+def hashing_embed(texts: list[str | None], dim: int = DIM, seed: int = 0) -> list[list[float]]:
+    """Signed hashing of words with a keyed BLAKE2b, weight 1 + ln(count), unit length; no words give zeros."""
+    out = []
+    for text in texts:
+        v = np.zeros(dim)
+        words, counts = np.unique(np.array([w for w in _words(text)], dtype=object), return_counts=True) if text else ((), ())
+        for w, n in zip(words, counts):
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8, key=str(seed).encode()[:64]).digest(), "big")
+            v[(h >> 1) % dim] += (1.0 if h & 1 else -1.0) * (1.0 + math.log(n))
+        length = math.sqrt(float(v @ v))
+        out.append((v / length if length else v).tolist())
+    return out
+
+
+def _words(text: str | None) -> list[str]:
+    import re
 
-    Each task keeps k rows a query; the final top k reads tasks x k rows. A vector that is null, empty or zero has
-    cosine 0. The queries must fit a worker in blocks of ``MAX_QUERY_VECTORS``.
+    return re.findall("[a-z0-9]+", (text or "").lower())
+
+
+def embedded(rows: DataFrame, keys: list[str], embed_fn=hashing_embed, text: str = "text") -> DataFrame:
+    """Rows with ``embedding`` by any function from texts to vectors, in Arrow batches.
+
+    Raises where the function gives another number of vectors, vectors of different lengths, or values that are not finite.
     """
-    q = [(r[0], r[1]) for r in queries.select(key, vector).orderBy(key).collect()]  # the stated query set
-    if not q:
-        return queries.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank int")
-    dim = max(len(v or []) for _, v in q)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    fixed = lambda rows: np.array([v if v is not None and len(v) == dim else [0.0] * dim for v in rows], dtype=np.float64)
-    ids = np.array([i for i, _ in q], dtype=np.int64)
-    sent = vectors.sparkSession.sparkContext.broadcast(unit(fixed([v for _, v in q])))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = None
         for b in batches:
-            own = np.array(b.column(0).to_pylist(), dtype=np.int64)
-            order = np.argsort(own)
-            own, m = own[order], unit(fixed(b.column(1).to_pylist()))[order]
-            for a in range(0, len(ids), MAX_QUERY_VECTORS):
-                s = np.round(sent.value[a:a + MAX_QUERY_VECTORS] @ m.T, 6) + 0.0
-                n = min(k, s.shape[1])
-                best = np.argsort(-s, axis=1, kind="stable")[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:a + len(s)], n)), pa.array(own[best].ravel()), pa.array(np.take_along_axis(s, best, 1).ravel())], names=["query_id", key, "score"])
-
-    return top(vectors.select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double"), [key], k)
+            texts = b.column(text).to_pylist()
+            got = embed_fn(texts)
+            if len(got) != len(texts):
+                raise ValueError(f"{len(texts)} texts gave {len(got)} vectors")
+            for v in got:
+                width = len(v) if width is None else width
+                if len(v) != width or not all(map(math.isfinite, v)):
+                    raise ValueError("vectors of different lengths or values that are not finite")
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], pa.array(got, pa.list_(pa.float64()))], names=[*keys, "embedding"])
+
+    return rows.select(*keys, text).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", embedding array<double>")
+
+
+def md5_vectors(rows: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
+    """(key, embedding) as by ``hashing_embed`` but with MD5 and wholly in columns, so that SQL can check it."""
+    words = rows.select(key, F.explode(T.terms(F.coalesce(F.col(text), F.lit("")))).alias("w")).groupBy(key, "w").agg(F.count("*").cast("double").alias("n"))
+    h = F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long")
+    x = (1 + F.log("n")) * F.when(h % 2 == 1, 1.0).otherwise(-1.0)
+    sums = words.select(key, (F.floor(h / 2) % dim).cast("int").alias("i"), x.alias("x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+    maps = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return rows.select(key).join(maps.select(key, full.alias("embedding")), key, "left")
+
+
+# --- explicit references ----------------------------------------------------------------------------------------------
+
+# fixed values: how a question names a step, a call or an event
+REFERENCES = (
+    ("event", r"(?i)\bevent[\s_\-#:]*([A-Za-z0-9][A-Za-z0-9_\-.]*)"), ("step", r"(?i)\bstep[\s_\-#:]*([A-Za-z0-9][A-Za-z0-9_\-.]*)"),
+    ("tool_call", r"(?i)\btool[\s_\-]?call[\s_\-#:]*([A-Za-z0-9][A-Za-z0-9_\-.]*)"), ("quoted", "[\"'`]([^\"'`\n]{1,300})[\"'`]"), ("bare", r"([A-Za-z0-9][A-Za-z0-9_\-./]*)"),
+)
+PREFIXES = {"step": ("", "step"), "tool_call": ("", "toolcall", "tc"), "event": ("", "event", "ev", "e")}
+
+
+def references(queries: DataFrame) -> DataFrame:
+    """(query_id, session_id, ref_kind, raw, at): what a question names, each kind and spelling once, in order.
+
+    Bare words count only if they look like ids or paths: a digit, a mark, or eight letters.
+    """
+    out = None
+    for kind, rx in REFERENCES:
+        raw = F.btrim("raw") if kind == "quoted" else F.col("raw")
+        d = queries.select("query_id", "session_id", "query", F.explode(F.regexp_extract_all("query", F.lit(rx), F.lit(1))).alias("raw"))
+        d = d.select("query_id", "session_id", F.lit(kind).alias("ref_kind"), raw.alias("raw"), F.expr("instr(query, raw)").alias("at"))
+        if kind == "bare":
+            d = d.filter((F.length("raw") >= 2) & (F.regexp_like("raw", F.lit(r"[0-9_\-./:]")) | (F.length("raw") >= 8)))
+        out = d if out is None else out.unionByName(d)
+    return out.groupBy("query_id", "session_id", "ref_kind", F.lower("raw").alias("low")).agg(F.min(F.struct("at", "raw")).alias("f")).select("query_id", "session_id", "ref_kind", F.col("f.raw").alias("raw"), F.col("f.at").alias("at"))
+
+
+def _norm(c: Column) -> Column:
+    return F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+
+
+def pins(queries: DataFrame, ev: DataFrame, paths: bool = True) -> DataFrame:
+    """(query_id, session_id, event_id, rank): the events that questions name, in order of the naming, at most eight for a
+    reference (the earliest). What names no event gives nothing.
+
+    ``queries``: query_id, session_id, query. ``ev``: session_id, event_id, ts, step_id, tool_call_id, native_ref, meta, text.
+    Names are compared by letters and digits alone, with the usual prefixes; paths match a native reference or a value of
+    meta as a whole or from a slash on, or stand in the text.
+    """
+    refs = cut(references(queries).withColumn("key", _norm(F.col("raw"))))
+    at = ["query_id", "session_id", "ref_kind", "raw", "at"]
+    e = ev.select("session_id", "event_id", F.coalesce("ts", F.lit(0)).alias("ts"), "step_id", "tool_call_id", "native_ref", "meta", "text")
+    hits = None
+    for column, kind in (("step_id", "step"), ("tool_call_id", "tool_call"), ("event_id", "event")):
+        ids = e.filter(F.col(column).isNotNull()).select("session_id", "event_id", "ts", _norm(F.col(column)).alias("norm"))
+        asked = refs.filter(F.col("ref_kind").isin(kind, "bare", "quoted") & ((F.col("key") != "") | (F.col("ref_kind") == "quoted")))
+        asked = asked.withColumn("norm", F.explode(F.array(*[F.concat(F.lit(p), "key") for p in PREFIXES[kind]])))
+        got = asked.join(ids, ["session_id", "norm"]).select(*at, "event_id", "ts")
+        hits = got if hits is None else hits.unionByName(got)
+    if paths:
+        named = refs.filter(F.col("ref_kind").isin("bare", "quoted") & (F.contains("raw", F.lit("/")) | F.regexp_like("raw", F.lit(r"\.[A-Za-z0-9]{1,6}$")))).withColumn("needle", F.regexp_replace("raw", r"^\./", "")).filter("needle <> ''")
+        whole = lambda c: (c == F.col("raw")) | (c == F.col("needle")) | F.endswith(c, F.concat(F.lit("/"), "needle"))
+        same = F.coalesce(whole(F.col("native_ref")), F.lit(False)) | F.coalesce(F.exists(F.map_values("meta"), lambda v: F.coalesce(whole(v), F.lit(False))), F.lit(False)) | F.coalesce(F.contains("text", F.col("needle")), F.lit(False))
+        hits = hits.unionByName(named.join(e, "session_id").filter(same).select(*at, "event_id", "ts"))
+    w = Window.partitionBy("query_id", "ref_kind", "raw").orderBy("ts", "event_id")
+    few = hits.distinct().withColumn("r", F.row_number().over(w)).filter(F.col("r") <= PINS_PER_REFERENCE)
+    first = few.groupBy("query_id", "session_id", "event_id").agg(F.min(F.struct("at", "ref_kind", "raw", "r")).alias("o"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("o")) - 1).select("query_id", "session_id", "event_id", "rank")
+
+
+def pinned(pin: DataFrame, fill: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """Pins first, never cut; then the other list (query_id, keys, rank) as far as k goes; ranks anew, ``pinned`` marks."""
+    n = pin.groupBy("query_id").agg(F.count("*").alias("pins"))
+    rest = fill.join(pin.select("query_id", *keys), ["query_id", *keys], "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", *keys)))
+    rest = rest.filter(F.col("r") <= k).join(n, "query_id", "left").filter(F.col("r") <= F.greatest(F.lit(0), k - F.coalesce("pins", F.lit(0)))).select("query_id", *keys, F.lit(False).alias("pinned"), "rank")
+    both = pin.select("query_id", *keys, F.lit(True).alias("pinned"), "rank").unionByName(rest)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pinned"), "rank", *keys)) - 1)
+
+
+def given_seeds(gold: DataFrame, ev: DataFrame) -> DataFrame:
+    """(query_id, session_id, event_id, rank) of listed ids in their order; ``gold``: query_id, session_id, ids. An id that is no
+    event raises when the result is computed."""
+    g = gold.select("query_id", "session_id", F.posexplode("ids").alias("rank", "event_id")).join(ev.select("session_id", "event_id", F.lit(True).alias("known")), ["session_id", "event_id"], "left")
+    known = F.when(F.col("known"), F.col("event_id")).otherwise(F.raise_error(F.concat(F.lit("no such event: "), "event_id")))
+    return g.select("query_id", "session_id", known.alias("event_id"), "rank")
+
+
+def recent_seeds(ev: DataFrame, n: int = 3) -> DataFrame:
+    """(session_id, event_id, rank): the newest n tool results of every session."""
+    w = Window.partitionBy("session_id").orderBy(F.desc("pos"))
+    best = ev.filter("kind = 'tool_result'").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return best.select("session_id", "event_id", (F.col("rank") - 1).alias("rank"))
+
+
+def identifier_chase(seeds: DataFrame, queries: DataFrame, ev: DataFrame, rounds: int = 4, per_round: int = 8, add: int = 6, most: int = 24, df_most: int = 8) -> DataFrame:
+    """(query_id, session_id, event_id, round): seeds (round 0) and events found by chasing identifiers, round by round.
+
+    A round takes the identifiers of what has been found that stand in 2 to ``df_most`` events of the session, those on
+    lines that share words with the question first, then the rarer and longer ones, ``per_round`` of them; and adds the events
+    with the most of them, earliest first: ``add`` a round, ``most`` in all.
+    """
+    key = ["query_id", "event_id"]
+    lines = ev.select("session_id", "event_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).filter("line <> ''")
+    words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z][A-Za-z0-9_]{2,}"), F.lit(0)), F.lower))
+    on_line = cut(lines.select("session_id", "event_id", words(F.col("line")).alias("words"), F.explode(T.identifiers(F.col("line"))).alias("ident")))
+    holds = on_line.select("session_id", "event_id", "ident").distinct()
+    df = holds.groupBy("session_id", "ident").agg(F.count("*").alias("df")).filter(F.col("df").between(2, df_most))
+    q = queries.select("query_id", words(F.coalesce("query", F.lit(""))).alias("asked"))
+    have = cut(seeds.select("query_id", "session_id", "event_id").distinct().withColumn("round", F.lit(0)))
+    known = None
+    for n in range(1, rounds + 1):
+        near = F.size(F.array_intersect("words", "asked"))
+        cand = have.join(on_line, ["session_id", "event_id"]).join(q, "query_id").groupBy("query_id", "session_id", "ident").agg(F.max(near).alias("near")).join(df, ["session_id", "ident"])
+        if known is not None:
+            cand = cand.join(known, ["query_id", "ident"], "left_anti")
+        w = Window.partitionBy("query_id").orderBy(F.desc("near"), "df", F.desc(F.length("ident")), "ident")
+        picked = cut(cand.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per_round).select("query_id", "session_id", "ident"))
+        if picked.isEmpty():
+            break
+        known = picked.select("query_id", "ident") if known is None else known.unionByName(picked.select("query_id", "ident"))
+        hits = picked.join(holds, ["session_id", "ident"]).groupBy("query_id", "session_id", "event_id").agg(F.count("*").alias("n")).join(have.select(*key), key, "left_anti").join(ev.select("session_id", "event_id", "pos"), ["session_id", "event_id"])
+        so_far = have.filter("round > 0").groupBy("query_id").agg(F.count("*").alias("added"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("n"), "pos")
+        new = hits.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= add).join(so_far, "query_id", "left").filter(F.col("r") + F.coalesce("added", F.lit(0)) <= most)
+        new = cut(new.select("query_id", "session_id", "event_id", F.lit(n).alias("round")))
+        if new.isEmpty():
+            continue
+        have = have.unionByName(new)
+    return have

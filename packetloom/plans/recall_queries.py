@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
-from packetloom.operators import assembler, closure, events, graph, packing, recall as R
+from packetloom.operators import assembler, closure, graph, packing, retrieval
+from packetloom.operators import recall as R
 from packetloom.plans.closure_queries import ASKED, _asked, _newest
 from packetloom.plans.graph_queries import EVM, SEARCH, _context, _ev, _trace, graph_newest
 from packetloom.plans.reference_queries import EV, MATERIAL
-from packetloom.runtime import cut
+from packetloom.runtime import cut, read_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -142,3 +143,86 @@ def newest_user_words(spark, sf):
     """The newest messages of users that fit, noise aside from the packet's other records."""
     items = _ev(spark, sf).filter("kind = 'user'").withColumn("cost", F.coalesce(T.tokens_floor(F.col("text")), F.lit(0))).select("session_id", "event_id", "pos", "cost")
     return packing.tail(items, ["session_id"], ["pos"], "cost", 512).select("session_id", "event_id", "cost", "used")
+
+
+# --- seeds ------------------------------------------------------------------------------------------------------------
+def _session_questions(ev: DataFrame) -> DataFrame:
+    """A question a session that names its newest step, a call and a path beside plain words."""
+    g = ev.groupBy("session_id").agg(F.max_by("step_id", F.when(F.col("step_id").isNotNull(), F.col("pos"))).alias("s"), F.max_by("tool_call_id", F.when(F.col("tool_call_id").isNotNull(), F.col("pos"))).alias("c"), F.max("event_id").alias("e"))
+    return g.select(F.col("session_id").alias("query_id"), "session_id", F.concat(F.lit("what did step "), F.coalesce("s", F.lit("none")), F.lit(" and tool call "), F.coalesce("c", F.lit("none")), F.lit(" say about event "), "e", F.lit("?")).alias("query"))
+
+
+_QUESTIONS = "qs AS (SELECT session_id, 'what did step ' || coalesce(arg_max(step_id, pos) FILTER (WHERE step_id IS NOT NULL), 'none') || ' and tool call ' || coalesce(arg_max(tool_call_id, pos) FILTER (WHERE tool_call_id IS NOT NULL), 'none') || ' say about event ' || max(event_id) || '?' AS query FROM ev GROUP BY 1)"
+_REF_SQL = " UNION ALL ".join(
+    f"SELECT session_id, '{kind}' AS ref_kind, {'trim(raw)' if kind == 'quoted' else 'raw'} AS raw FROM (SELECT session_id, unnest(regexp_extract_all(query, {retrieval_rx}, 1)) AS raw FROM qs)" + (" WHERE length(raw) >= 2 AND (regexp_matches(raw, '[0-9_\\-./:]') OR length(raw) >= 8)" if kind == "bare" else "")
+    for kind, retrieval_rx in ((k, "'" + rx.replace("'", "''") + "'") for k, rx in retrieval.REFERENCES)
+)
+
+
+@query(f"WITH {EV}, {_QUESTIONS}, rf AS ({_REF_SQL}) SELECT session_id, ref_kind, lower(raw) AS low, count(*) OVER (PARTITION BY session_id) AS of_session FROM (SELECT DISTINCT session_id, ref_kind, lower(raw) AS raw FROM rf)")
+def explicit_references(spark, sf):
+    """What questions name: steps, calls, events, quoted and bare ids."""
+    r = retrieval.references(_session_questions(_ev(spark, sf))).select("session_id", "ref_kind", F.lower("raw").alias("low"))
+    return r.join(r.groupBy("session_id").agg(F.count("*").alias("of_session")), "session_id")
+
+
+_N = lambda c: f"regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+
+
+def _resolve_sql() -> str:
+    parts = []
+    for column, kind in (("step_id", "step"), ("tool_call_id", "tool_call"), ("event_id", "event")):
+        for prefix in retrieval.PREFIXES[kind]:
+            parts.append(f"SELECT r.session_id, r.ref_kind, r.raw, e.event_id, e.ts FROM rf r JOIN ev e ON e.session_id = r.session_id AND {_N('e.' + column)} = '{prefix}' || {_N('r.raw')} WHERE r.ref_kind IN ('{kind}', 'bare', 'quoted') AND ({_N('r.raw')} <> '' OR r.ref_kind = 'quoted')")
+    return " UNION ".join(parts)
+
+
+@query(f"WITH {EV}, {_QUESTIONS}, rf AS (SELECT session_id, ref_kind, min(raw) AS raw FROM ({_REF_SQL}) GROUP BY session_id, ref_kind, lower(raw)), hits AS ({_resolve_sql()}) SELECT DISTINCT session_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, ref_kind, raw ORDER BY ts, event_id) AS r FROM hits) WHERE r <= 8")
+def pinned_references(spark, sf):
+    """The events that steps, calls and event ids in questions name, at most eight for a reference."""
+    ev = cut(_ev(spark, sf))
+    return retrieval.pins(_session_questions(ev), ev, paths=False).select("session_id", "event_id")
+
+
+@query()
+def hybrid_pin(spark, sf):
+    """Pins, paths included, before the words' list, to eight seeds or as many as are pinned."""
+    ev = cut(_ev(spark, sf))
+    q = cut(_session_questions(ev))
+    fill = R.ranked_events(ev.select("session_id", "event_id", "text"), q, 64)
+    pin = retrieval.pins(q, ev).select("query_id", "session_id", "event_id", "rank")
+    return retrieval.pinned(pin, fill.select("query_id", "session_id", "event_id", "rank"), ["session_id", "event_id"], 8)
+
+
+@query(f"WITH {EV} SELECT session_id, event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) - 1 AS INT) AS rank FROM ev WHERE kind = 'tool_result' QUALIFY rank < 3")
+def recent_seeds(spark, sf):
+    return retrieval.recent_seeds(_ev(spark, sf), 3)
+
+
+@query(f"WITH {EV} SELECT session_id, event_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) - 1 AS INT) AS rank FROM ev WHERE kind = 'decision'")
+def given_seeds(spark, sf):
+    """Listed ids as seeds, in the order of the list."""
+    ev = cut(_ev(spark, sf))
+    gold = ev.filter("kind = 'decision'").groupBy("session_id").agg(F.sort_array(F.collect_list("event_id"), asc=False).alias("ids")).withColumn("query_id", F.col("session_id"))
+    return retrieval.given_seeds(gold, ev).select("session_id", "event_id", F.col("rank").cast("int").alias("rank"))
+
+
+@query("SELECT doc_id, CAST(greatest(8, least(64, n_chars // 100)) AS INT) AS k FROM documents WHERE n_chars IS NOT NULL")
+def auto_k(spark, sf):
+    """Records to rank, with the length of a document as the budget."""
+    return read_table(spark, sf, "documents").filter("n_chars is not null").select("doc_id", R.auto_k(F.col("n_chars")).alias("k"))
+
+
+@query()
+def identifier_chase(spark, sf):
+    """Four rounds of identifiers from the best eight records of every session's question."""
+    ev = cut(_ev(spark, sf))
+    q = cut(_questions(ev).select("query_id", "session_id", "query"))
+    seeds = R.ranked_events(ev.select("session_id", "event_id", "text"), q, 8)
+    return retrieval.identifier_chase(seeds, q, ev)
+
+
+@query()
+def hashed_embeddings(spark, sf):
+    """Signed hashing of words of documents."""
+    return retrieval.embedded(read_table(spark, sf, "documents"), ["doc_id"]).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))

@@ -159,23 +159,36 @@ def _bm25_sql(table: str, keys: str, prefix: str = "") -> str:
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id')} SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INT) AS rank FROM s QUALIFY rank < 8")
 def bm25_topk(spark, sf):
-    s = retrieval.bm25(read_table(spark, sf, "documents").select("doc_id", "text"), _queries(spark, sf), ["doc_id"])
-    return retrieval.top(s, ["doc_id"], 8)
+    return retrieval.search(read_table(spark, sf, "documents").select("doc_id", "text"), _queries(spark, sf), "doc_id", 8).filter("score > 0")
 
 
-@query(f"""WITH {_bm25_sql('documents', 'doc_id')}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM s),
- o AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM p JOIN q USING (term) GROUP BY ALL), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM o),
- u AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM (SELECT * FROM a WHERE rank < 100 UNION ALL SELECT * FROM b WHERE rank < 100) GROUP BY ALL)
+_MD5_EMBED = """SELECT {k}, i, sum((1 + ln(n)) * CASE WHEN h % 2 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM (SELECT {k}, n, CAST('0x' || left(md5(term), 8) AS BIGINT) AS h, (CAST('0x' || left(md5(term), 8) AS BIGINT) // 2) % 256 AS i FROM
+ (SELECT {k}, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT {k}, unnest(regexp_extract_all(lower(coalesce({t}, '')), '[a-z0-9]+')) AS term FROM {f}) GROUP BY ALL)) GROUP BY ALL"""
+
+
+@query(f"""WITH {_bm25_sql('documents', 'doc_id')}, dv AS ({_MD5_EMBED.format(k='doc_id', t='text', f='documents')}), qv AS ({_MD5_EMBED.format(k='field_name', t='meaning', f='field_catalog')}),
+ dn AS (SELECT doc_id, sqrt(sum(x * x)) AS len FROM dv GROUP BY 1), qn AS (SELECT field_name, sqrt(sum(x * x)) AS len FROM qv GROUP BY 1), dots AS (SELECT q.field_name, d.doc_id, sum(q.x * d.x) AS dot FROM qv q JOIN dv d USING (i) GROUP BY ALL),
+ pairs AS (SELECT f.field_name AS query_id, d.doc_id FROM field_catalog f, documents d),
+ arms AS (SELECT p.query_id, p.doc_id, coalesce(s.score, 0) AS lex, round(coalesce(dot / nullif(dn.len, 0) / nullif(qn.len, 0), 0), 6) + 0.0 AS den FROM pairs p LEFT JOIN s ON s.query_id = p.query_id AND s.doc_id = p.doc_id LEFT JOIN dots ON dots.field_name = p.query_id AND dots.doc_id = p.doc_id LEFT JOIN dn ON dn.doc_id = p.doc_id LEFT JOIN qn ON qn.field_name = p.query_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lex DESC, doc_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY den DESC, doc_id) AS b FROM arms), u AS (SELECT query_id, doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b), 6) AS score FROM r)
  SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS INT) AS rank FROM u QUALIFY rank < 8""")
 def hybrid_rrf(spark, sf):
+    """Words and vectors fused over their full lists."""
     return _hybrid(read_table(spark, sf, "documents").select("doc_id", "text"), _queries(spark, sf))
 
 
 def _hybrid(docs: DataFrame, q: DataFrame) -> DataFrame:
-    a = retrieval.top(retrieval.bm25(docs, q, ["doc_id"]), ["doc_id"], 100)
-    terms = q.select("query_id", F.explode(F.array_distinct(T.terms(F.col("query")))).alias("term"))
-    o = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.coalesce("text", F.lit(""))))).alias("term")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return retrieval.fuse([(a, 1.0), (retrieval.top(o, ["doc_id"], 100), 1.0)], ["doc_id"], 8)
+    vectors = retrieval.md5_vectors(docs, "doc_id", "text")
+    asked = retrieval.md5_vectors(q, "query_id", "query")
+    return _fused(docs, q, vectors.withColumnRenamed("doc_id", "vec_id"), asked.withColumnRenamed("query_id", "vec_id"))
+
+
+def _fused(docs: DataFrame, q: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """Both arms rank all documents for every query, as the fusion needs full lists."""
+    n = docs.count()
+    lex = retrieval.search(docs, q, "doc_id", n)
+    den = retrieval.dense(vectors, asked, n).withColumnRenamed("vec_id", "doc_id")
+    return retrieval.fuse([(lex, 1.0), (den, 1.0)], ["doc_id"], 8)
 
 
 def _document_queries(docs: DataFrame) -> DataFrame:
@@ -186,12 +199,15 @@ def _document_queries(docs: DataFrame) -> DataFrame:
 @query()
 def bm25_documents(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return retrieval.top(retrieval.bm25(docs, _document_queries(docs), ["doc_id"]), ["doc_id"], 8)
+    return retrieval.search(docs, _document_queries(docs), "doc_id", 8)
 
 
 @query()
 def hybrid_documents(spark, sf):
-    return _hybrid(docs := read_table(spark, sf, "documents").select("doc_id", "text"), _document_queries(docs))
+    """Every twentieth document as a query; words and hashed words fused over full lists."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    v = retrieval.embedded(docs, ["doc_id"]).withColumnRenamed("doc_id", "vec_id")
+    return _fused(docs, _document_queries(docs), v, v.filter("vec_id % 20 = 0"))
 
 
 @query("""SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INT) AS rank FROM
@@ -250,8 +266,8 @@ def compaction_segments(spark, sf):
  FROM o JOIN r USING (query_id, rn) WHERE kept GROUP BY query_id""")
 def recall_packets(spark, sf):
     """BM25 over all events for every query, greedy whole-record packing under the budget, rendered packets."""
-    ev = _costed(spark, sf).select("session_id", "event_id", "text", "cost")
     key = ["session_id", "event_id"]
+    ev = first_rows(read_table(spark, sf, "trace_events").select(*key, "text", "received_at"), key).withColumn("cost", F.coalesce(T.tokens_floor(F.col("text")), F.lit(0)))
     ranked = retrieval.top(retrieval.bm25(ev, _queries(spark, sf), key), key, CANDIDATES)
     items = ranked.join(ev.select(*key, "text", "cost"), key)
     return packing.render(packing.first_fit(items, ["query_id"], ["rank"], "cost", RECALL_BUDGET), ["query_id"], "rank")
@@ -401,14 +417,6 @@ def seed_pairs(spark, sf):
     return r.select("session_id", F.col("src_id").alias("event_id"), F.col("dst_id").alias("paired_id")).union(r.select("session_id", F.col("dst_id"), F.col("src_id")))
 
 
-@query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE kind IN ('user', 'decision') AND text IS NOT NULL)
- SELECT session_id, event_id, unnest(list_distinct(regexp_extract_all(text, '`([^`\n]{2,60})`', 1))) AS reference FROM t""")
-def explicit_references(spark, sf):
-    """Quoted references in instructions and decisions."""
-    t = first_rows(read_table(spark, sf, "trace_events"), ["session_id", "event_id"]).filter("kind in ('user', 'decision') and text is not null")
-    return t.select("session_id", "event_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"`([^`\n]{2,60})`"), F.lit(1)))).alias("reference"))
-
-
 @query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE text IS NOT NULL), i AS (SELECT session_id, event_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+'), lambda v: length(v) BETWEEN 5 AND 40))) AS ident FROM t)
  SELECT session_id, ident, count(*) AS df FROM i GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8""")
 def identifier_frequency(spark, sf):

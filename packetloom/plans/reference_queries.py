@@ -333,7 +333,7 @@ def token_percentiles(spark, sf):
 PI = "pr AS (SELECT DISTINCT session_id, row_no, type, id, role, content, toolName, isError, command, output FROM pi_rows)"
 
 
-@query(rf"""WITH {PI}, g AS (SELECT CASE WHEN isError THEN 'failed' ELSE 'passed' END AS truth, CASE WHEN regexp_matches(content, '(?m)^(?:FAILED|ERROR|E  |Traceback|AssertionError|FAIL:)') THEN 'failed' ELSE 'passed' END AS guess FROM pr WHERE role = 'toolResult' AND content IS NOT NULL AND isError IS NOT NULL),
+@query(f"""WITH {PI}, g AS (SELECT CASE WHEN isError THEN 'failed' ELSE 'passed' END AS truth, CASE WHEN regexp_matches(content, '{T.FAILURE_LINE}') THEN 'failed' ELSE 'passed' END AS guess FROM pr WHERE role = 'toolResult' AND content IS NOT NULL AND isError IS NOT NULL),
  l AS (SELECT truth AS label FROM g UNION SELECT guess FROM g), c AS (SELECT label, (SELECT count(*) FROM g WHERE truth = label AND guess = label) AS tp, (SELECT count(*) FROM g WHERE guess = label) AS ng, (SELECT count(*) FROM g WHERE truth = label) AS nt FROM l)
  SELECT label, tp, ng - tp AS fp, nt - tp AS fn, round(tp / nullif(ng, 0), 6) AS precision, round(tp / nullif(nt, 0), 6) AS recall, round(2 * (tp / nullif(ng, 0)) * (tp / nullif(nt, 0)) / nullif(tp / nullif(ng, 0) + tp / nullif(nt, 0), 0), 6) AS f1 FROM c""")
 def validation_confusion(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
+from packetloom.operators.contraction import ROOT, solve
 from packetloom.runtime import filled, first_rows
 
 HOUR = 3_600_000
@@ -125,6 +126,19 @@ def depends_value(ev: DataFrame, max_sources: int = 3, max_edges: int = 4, resul
     return _edge(one.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= max_edges).withColumn("dst", F.col("s.src_event")), "event_id", "dst", "DEPENDS_ON", F.concat(F.lit("value:"), "v.type"))
 
 
+def control(rows: DataFrame, most: int = 64) -> DataFrame:
+    """(session_id, src_id, dst_id, predicate): retained row -> its nearest retained ancestor, at most ``most`` links up.
+
+    ``rows``: session_id, uuid, parent, kept, line_no. Retained rows are cut from their parents and so are the roots of the
+    forests of dropped rows, which one contraction resolves however long the chains are.
+    """
+    nodes = rows.select(F.col("session_id").alias("scope"), F.col("uuid").alias("id"), F.when(~F.col("kept"), F.col("parent")).alias("parent"), F.col("line_no").alias("pos"), F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("own"), F.lit(None).cast("string").alias("seg"))
+    tops = solve(nodes).filter(F.col("state") == ROOT).select(F.col("scope").alias("session_id"), F.col("id").alias("parent"), "root", "weight")
+    kept = rows.filter("kept").select("session_id", F.col("uuid").alias("root"))
+    up = rows.filter("kept and parent is not null").join(tops.filter(F.col("weight") <= most), ["session_id", "parent"]).join(kept, ["session_id", "root"])
+    return up.select("session_id", F.col("uuid").alias("src_id"), F.col("root").alias("dst_id"), F.when(F.col("weight") > 1, "parent:transitive").otherwise("parent").alias("predicate"))
+
+
 def all_edges(ev: DataFrame) -> DataFrame:
     return result_of(ev).unionByName(temporal(ev)).unionByName(supersedes(ev)).unionByName(materializes(ev)).unionByName(depends_value(ev))
 

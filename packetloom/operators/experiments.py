@@ -152,6 +152,18 @@ def round_robin(items: DataFrame, targets: dict[str, int], share: float = 0.4, s
     return d.join(n, ["slice", "session_id"]).filter(F.col("turn") <= F.col("most")).select("slice", "session_id", "item_id")
 
 
+def dependency_slices(values: DataFrame) -> DataFrame:
+    """(slice, session_id, value) of values that one result of a session alone shows: ``direct_fact`` if nothing repeats it,
+    ``tool_chain`` if a later call does, ``decision_source`` if a later message or decision does.
+
+    ``values``: session_id, event_id, pos, kind, value.
+    """
+    is_result, later = F.col("kind") == "tool_result", lambda *k: F.max(F.when(F.col("kind").isin(*k), F.col("pos")))
+    v = values.groupBy("session_id", "value").agg(F.count_if(is_result).alias("n_res"), F.count("*").alias("n"), F.min(F.when(is_result, F.col("pos"))).alias("at"), later("tool_call").alias("call"), later("assistant", "decision").alias("said")).filter("n_res = 1")
+    kinds = F.array_compact(F.array(F.when(F.col("n") == 1, "direct_fact"), F.when(F.col("call") > F.col("at"), "tool_chain"), F.when(F.col("said") > F.col("at"), "decision_source")))
+    return v.select(F.explode(kinds).alias("slice"), "session_id", "value")
+
+
 def generic_values(values: DataFrame, sessions: int = 3) -> DataFrame:
     """Values that stand in ``sessions`` or more sessions and so prove nothing: (value, n)."""
     return values.select("session_id", "value").distinct().groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") >= sessions)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
+from packetloom.operators import events, flatten
 from packetloom.operators import experiments as X
 from packetloom.plans.graph_queries import _ev
-from packetloom.plans.reference_queries import EV
+from packetloom.plans.reference_queries import DEPENDS, EV
 from packetloom.runtime import cut, first_rows, read_table
 from packetloom.sources import loaders
+from packetloom.sources.normalize import events_of
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -71,6 +73,53 @@ def stratified_items(spark, sf):
     return X.round_robin(ev.select(F.col("kind").alias("slice"), "session_id", F.concat_ws(":", "session_id", "event_id").alias("item_id")), _TARGETS)
 
 
+_SLICES = f"""{EV}, {DEPENDS.split('rare AS (')[0].replace("WHERE kind IN ('assistant', 'tool_call', 'tool_result')", "WHERE kind IN ('assistant', 'decision', 'tool_call', 'tool_result')").rstrip().rstrip(',')}"""
+
+
+@query(f"""WITH {_SLICES}, g AS (SELECT session_id, value, count(*) FILTER (WHERE kind = 'tool_result') AS n_res, count(*) AS n, min(pos) FILTER (WHERE kind = 'tool_result') AS a, max(pos) FILTER (WHERE kind = 'tool_call') AS c, max(pos) FILTER (WHERE kind IN ('assistant', 'decision')) AS s FROM vals GROUP BY ALL HAVING n_res = 1)
+ SELECT 'direct_fact' AS slice, session_id, value FROM g WHERE n = 1 UNION ALL SELECT 'tool_chain', session_id, value FROM g WHERE c > a UNION ALL SELECT 'decision_source', session_id, value FROM g WHERE s > a""")
+def dependency_slices(spark, sf):
+    """Values by how a session depends on the one result that shows them."""
+    ev = _ev(spark, sf).filter("kind in ('assistant', 'decision', 'tool_call', 'tool_result')")
+    return X.dependency_slices(events.event_values(ev))
+
+
+@query(f"WITH {_SLICES} SELECT value, count(DISTINCT session_id) AS n FROM vals GROUP BY value HAVING count(DISTINCT session_id) >= 3")
+def generic_values(spark, sf):
+    """Values of three or more sessions, which prove nothing."""
+    ev = _ev(spark, sf).filter("kind in ('assistant', 'decision', 'tool_call', 'tool_result')")
+    return X.generic_values(events.event_values(ev))
+
+
+def _declared(spark, sf):
+    """Ids and result links of the transcripts by another way than the events: their flattened blocks."""
+    rows = first_rows(read_table(spark, sf, "claude_rows"), ["session_id", "line_no"]).filter(F.col("type").isin("user", "assistant") & ~F.coalesce("isSidechain", F.lit(False)) & F.col("uuid").isNotNull())
+    block = flatten.relation(flatten.flatten_records(rows.withColumn("received_at", F.lit(None).cast("timestamp"))), "block").select("session_id", "line_no", "item_no", "type", "id", "tool_use_id")
+    b = block.join(rows.select("session_id", "line_no", "uuid"), ["session_id", "line_no"])
+    calls = b.filter("type = 'tool_use' and id is not null").groupBy("session_id", F.col("id").alias("tool_use_id")).agg(F.min(F.struct("line_no", "uuid")).alias("c"))
+    edges = b.filter("type = 'tool_result'").join(calls, ["session_id", "tool_use_id"]).filter(F.col("c.line_no") < F.col("line_no"))
+    return b.filter("type in ('tool_use', 'tool_result')").select("session_id", F.col("uuid").alias("ref")).distinct(), edges.select("session_id", F.col("uuid").alias("src_ref"), F.col("c.uuid").alias("dst_ref")).distinct()
+
+
+@query()
+def roundtrip_audit(spark, sf):
+    """What the events of the transcripts lost against an independent reading: ids, links, references and whole groups."""
+    ev = cut(events_of(read_table(spark, sf, "claude_rows"), "claude_code").withColumn("pos", F.col("step_id").cast("long") * 1000 + F.substring("event_id", -3, 3).cast("long")))
+    ids, links = _declared(spark, sf)
+    ro = events.result_of(ev).select("session_id", "src_id", "dst_id")
+    end = lambda c, p: ev.select("session_id", F.col("event_id").alias(c), F.col("native_ref").alias(f"{p}_ref"), F.col("atomic_group").alias(f"{p}_group"))
+    e = cut(ro.join(end("src_id", "src"), ["session_id", "src_id"]).join(end("dst_id", "dst"), ["session_id", "dst_id"]))
+    checks = {
+        "missing ids": ids.join(ev.select("session_id", F.col("native_ref").alias("ref")), ["session_id", "ref"], "left_anti"), "missing links": links.join(e.select("session_id", "src_ref", "dst_ref"), ["session_id", "src_ref", "dst_ref"], "left_anti"),
+        "links without reference": e.filter("src_ref is null or dst_ref is null"), "split groups": e.filter("not (src_group <=> dst_group)"), "declared ids": ids, "declared links": links,
+    }
+    out = None
+    for name, d in checks.items():
+        n = d.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 @query("SELECT router, count(*) AS n, min(budget) AS least, max(budget) AS most FROM (SELECT unnest(['last_n', 'lexical', 'dense', 'hybrid', 'hybrid_pin', 'oracle']) AS router), (SELECT unnest(range(12)) AS i), (SELECT unnest([1024, 2048, 4096]) AS budget) GROUP BY router")
 def arm_grid(spark, sf):
     """The grid of routers, closures, witnesses and budgets."""

@@ -129,21 +129,11 @@ def fifo_pairs(spark, sf):
   UNION ALL SELECT w.session_id, w.uuid, m.parent, hop + 1 FROM w JOIN m ON w.session_id = m.session_id AND w.at = m.uuid WHERE NOT m.kept AND hop < 64 AND m.parent IS NOT NULL)
  SELECT w.session_id, w.uuid AS src_id, w.at AS dst_id, CASE WHEN hop > 1 THEN 'parent:transitive' ELSE 'parent' END AS predicate FROM w JOIN m ON w.session_id = m.session_id AND w.at = m.uuid WHERE m.kept""")
 def edges_control(spark, sf):
-    """Row -> nearest retained ancestor, by walking over dropped rows only; at most 64 hops."""
+    """Row -> nearest retained ancestor over dropped rows only, at most 64 hops: retained rows are the roots of a forest."""
     rows = read_table(spark, sf, "claude_rows").filter("uuid is not null")
     keep = F.coalesce(F.col("type").isin("user", "assistant") & ~F.coalesce("isSidechain", F.lit(False)), F.lit(False))
-    m = rows.groupBy("session_id", "uuid").agg(F.min(F.struct("line_no", F.coalesce("parentUuid", F.lit("")).alias("p"), keep.alias("kept"))).alias("v")).select("session_id", "uuid", F.nullif("v.p", F.lit("")).alias("parent"), "v.kept")
-    m = cut(m)
-    dropped = m.filter("not kept and parent is not null").select("session_id", F.col("uuid").alias("at"), F.col("parent").alias("nxt"))
-    kept = m.filter("kept").select("session_id", F.col("uuid").alias("at"))
-    walk, out = m.filter("kept and parent is not null").select("session_id", "uuid", F.col("parent").alias("at")), None
-    for hop in range(1, 65):
-        hit = walk.join(kept, ["session_id", "at"], "left_semi").select("session_id", F.col("uuid").alias("src_id"), F.col("at").alias("dst_id"), F.lit("parent" if hop == 1 else "parent:transitive").alias("predicate"))
-        out = hit if out is None else out.unionByName(hit)
-        walk = cut(walk.join(dropped, ["session_id", "at"]).select("session_id", "uuid", F.col("nxt").alias("at")))
-        if walk.isEmpty():
-            break
-    return out
+    m = rows.groupBy("session_id", "uuid").agg(F.min(F.struct("line_no", F.coalesce("parentUuid", F.lit("")).alias("p"), keep.alias("kept"))).alias("v")).select("session_id", "uuid", F.nullif("v.p", F.lit("")).alias("parent"), "v.kept", "v.line_no")
+    return events.control(cut(m))
 
 
 def _queries(spark, sf):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.runtime import spread
+from packetloom.runtime import prefix_sums, spread
 
 
 def fold_sorted(df: DataFrame, keys: list[str], order: list, value: str, start: Callable[[], object], step: Callable[[object, int], tuple[object, int]], out: str) -> DataFrame:
@@ -40,7 +40,8 @@ def first_fit(items: DataFrame, keys: list[str], order: list, cost: str, budget:
     def step(used: int, v: int) -> tuple[int, int]:
         return (used + v, used + v) if used + v <= budget else (used, -1)
 
-    return fold_sorted(items, keys, order, cost, lambda: 0, step, "used").filter("used >= 0")
+    fits = items.filter(F.coalesce(cost, F.lit(0)) <= budget)  # what is above the budget fits nowhere and changes nothing
+    return fold_sorted(fits, keys, order, cost, lambda: 0, step, "used").filter("used >= 0")
 
 
 def segments(items: DataFrame, keys: list[str], order: list, cost: str, window: int) -> DataFrame:
@@ -54,10 +55,14 @@ def segments(items: DataFrame, keys: list[str], order: list, cost: str, window:
     return fold_sorted(items, keys, order, cost, lambda: (0, 0), step, "segment")
 
 
-def tail(items: DataFrame, keys: list[str], order: list, cost: str, budget: int) -> DataFrame:
-    """Newest contiguous items within the budget; stops at the first that does not fit."""
-    w = Window.partitionBy(*keys).orderBy(*[o.desc() if hasattr(o, "desc") else F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum(F.coalesce(cost, F.lit(0)).cast("long")).over(w)).filter(F.col("used") <= budget)
+def tail(items: DataFrame, keys: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
+    """Newest contiguous items within the budget; stops at the first that does not fit. Adds ``used`` (from the newest on).
+
+    Sums come from a range sort with stitched partitions, so a group may hold most of the rows. Keys must not be null.
+    """
+    d = prefix_sums(items.withColumn("_cost", F.coalesce(cost, F.lit(0)).cast("long")), keys, order, "_cost", "_ahead")
+    total = d.groupBy(*keys).agg(F.sum("_cost").alias("_total"))
+    return d.join(total, keys).withColumn("used", F.col("_total") - F.col("_ahead")).filter(F.col("used") <= budget).drop("_cost", "_ahead", "_total")
 
 
 def render(packed: DataFrame, keys: list[str], order: str, text: str = "text", sep: str = "\n\n") -> DataFrame:

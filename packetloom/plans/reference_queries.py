@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
 from packetloom.operators import closure, events, metrics, packing, retrieval
-from packetloom.runtime import cut, first_rows, read_table, round6
+from packetloom.runtime import cut, filled, first_rows, ranked, read_table, round6
 
 BUDGET = 2_048
 RECALL_BUDGET, CANDIDATES = 2_000, 300
@@ -271,9 +271,9 @@ def _redact_sql(c: str) -> str:
     return f"regexp_replace({c}, {q(T.REDACT_ASSIGNED)}, {q(chr(92) + '1' + chr(92) + '2[redacted]')}, 'g')"
 
 
-@query(f"WITH {EV}, t AS (SELECT session_id, event_id, text, {_redact_sql('text')} AS masked FROM ev WHERE kind IN ('tool_call', 'tool_result')) SELECT session_id, event_id, md5(masked) AS digest FROM t WHERE masked <> text")
+@query(f"WITH {EV}, t AS (SELECT session_id, event_id, text, {_redact_sql('text')} AS masked FROM ev) SELECT session_id, event_id, md5(masked) AS digest FROM t WHERE masked <> text")
 def redacted_events(spark, sf):
-    t = _ev(spark, sf).filter("kind in ('tool_call', 'tool_result')").withColumn("masked", T.redacted(F.col("text")))
+    t = _ev(spark, sf).withColumn("masked", T.redacted(F.col("text")))
     return t.filter("masked <> text").select("session_id", "event_id", F.md5("masked").alias("digest"))
 
 
@@ -283,11 +283,11 @@ def token_estimates(spark, sf):
     return read_table(spark, sf, "documents").filter("text is not null").select("doc_id", T.tokens_floor(c).alias("t_floor"), T.tokens_ceil(c).alias("t_ceil"), T.tokens_packet(c).alias("t_packet"), T.tokens_bytes(c).alias("t_bytes"))
 
 
-@query("""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term HAVING count(DISTINCT doc_id) BETWEEN 2 AND 8""")
+@query("""SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents WHERE text IS NOT NULL) GROUP BY term""")
 def term_frequency(spark, sf):
     t = read_table(spark, sf, "documents").filter("text is not null").select("doc_id", F.explode(T.terms(F.col("text"))).alias("term"))
     per = t.groupBy("term", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).filter("df between 2 and 8")
+    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 ARMS = f"""{EV}, gold AS (SELECT session_id, event_id FROM ev WHERE kind = 'decision'), ta AS (SELECT session_id, event_id FROM (SELECT *, sum(cost) OVER (PARTITION BY session_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) AS u FROM ev) WHERE u <= {BUDGET}),
@@ -336,11 +336,11 @@ def validation_confusion(spark, sf):
  SELECT trajectory_id, CAST(row_number() OVER (PARTITION BY trajectory_id ORDER BY row_no) - 1 AS INT) AS idx, id AS action_id, next_id AS observation_id, goal FROM m WHERE role IN ('assistant', 'ai', 'model') AND n_calls > 0 AND next_role IN ('tool', 'function')""")
 def action_nodes(spark, sf):
     r = first_rows(read_table(spark, sf, "oh_rows"), ["trajectory_id", "row_no"]).withColumn("role", F.lower(F.trim("role")))
-    w = Window.partitionBy("trajectory_id").orderBy("row_no")
-    goal = F.last(F.when(F.col("role").isin("user", "human"), F.col("id")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    m = r.withColumn("next_id", F.lead("id").over(w)).withColumn("next_role", F.lead("role").over(w)).withColumn("goal", goal)
-    m = m.filter(F.col("role").isin("assistant", "ai", "model") & (F.size("tool_calls") > 0) & F.col("next_role").isin("tool", "function"))
-    return m.select("trajectory_id", (F.row_number().over(w) - 1).alias("idx"), F.col("id").alias("action_id"), F.col("next_id").alias("observation_id"), "goal")
+    r = ranked(r.select("trajectory_id", "row_no", "id", "role", F.size("tool_calls").alias("n_calls")), ["trajectory_id"], ["row_no"], "at").withColumn("said", F.when(F.col("role").isin("user", "human"), F.col("id")))
+    r = filled(r, "said", "goal", group="trajectory_id", pos="at")
+    nxt = r.select("trajectory_id", (F.col("at") - 1).alias("at"), F.col("id").alias("observation_id"), F.col("role").alias("next_role"))
+    m = r.join(nxt, ["trajectory_id", "at"]).filter(F.col("role").isin("assistant", "ai", "model") & (F.col("n_calls") > 0) & F.col("next_role").isin("tool", "function"))
+    return ranked(m, ["trajectory_id"], ["at"], "idx").select("trajectory_id", F.col("idx").cast("int").alias("idx"), F.col("id").alias("action_id"), "observation_id", "goal")
 
 
 @query(f"WITH {EV} SELECT kind, session_id, event_id FROM ev QUALIFY row_number() OVER (PARTITION BY kind, session_id ORDER BY md5(session_id || ':' || event_id), event_id) <= 2")
@@ -407,21 +407,22 @@ def seed_pairs(spark, sf):
     return r.select("session_id", F.col("src_id").alias("event_id"), F.col("dst_id").alias("paired_id")).union(r.select("session_id", F.col("dst_id"), F.col("src_id")))
 
 
-@query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE text IS NOT NULL), i AS (SELECT session_id, event_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+'), lambda v: length(v) BETWEEN 5 AND 40))) AS ident FROM t)
- SELECT session_id, ident, count(*) AS df FROM i GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8""")
+@query(r"""WITH t AS (SELECT DISTINCT session_id, event_id, text FROM trace_events WHERE text IS NOT NULL), i AS (SELECT session_id, event_id, unnest(list_distinct(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+'), lambda v: length(v) >= 5))) AS ident FROM t)
+ SELECT session_id, ident, count(*) AS df FROM i GROUP BY ALL""")
 def identifier_frequency(spark, sf):
-    """Identifiers that stand in 2 to 8 events of a session, with that number."""
+    """In how many events of a session each identifier stands."""
     t = first_rows(read_table(spark, sf, "trace_events"), ["session_id", "event_id"]).filter("text is not null")
-    ids = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"), F.lit(0)), lambda v: F.length(v).between(5, 40)))
-    return t.select("session_id", "event_id", F.explode(ids).alias("ident")).groupBy("session_id", "ident").agg(F.count("*").alias("df")).filter("df between 2 and 8")
+    ids = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+(?:_[A-Za-z0-9]+)+"), F.lit(0)), lambda v: F.length(v) >= 5))
+    return t.select("session_id", "event_id", F.explode(ids).alias("ident")).groupBy("session_id", "ident").agg(F.count("*").alias("df"))
 
 
-@query("""WITH d AS (SELECT lang, CAST(length(text) AS DOUBLE) AS x FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'fr', 'de', 'es', 'zh', 'ja'))
+@query("""WITH d AS (SELECT coalesce(lower(lang), 'none') AS lang, CAST(length(text) AS DOUBLE) AS x FROM documents WHERE text IS NOT NULL)
  SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(x), 6) AS mean, CAST(quantile_disc(x, 0.5) AS BIGINT) AS p50 FROM d GROUP BY GROUPING SETS ((lang), ())""")
 def length_sets(spark, sf):
-    d = read_table(spark, sf, "documents").filter("text is not null and lang in ('en', 'fr', 'de', 'es', 'zh', 'ja')").select("lang", F.length("text").cast("double").alias("x"))
-    d.createOrReplaceTempView("length_sets_input")
-    return spark.sql("SELECT coalesce(lang, 'all') AS lang, count(*) AS n, round(avg(x), 6) AS mean, cast(percentile_disc(0.5) within group (order by x) AS bigint) AS p50 FROM length_sets_input GROUP BY GROUPING SETS ((lang), ())")
+    """Lengths by language and over all."""
+    d = read_table(spark, sf, "documents").filter("text is not null").select(F.coalesce(F.lower("lang"), F.lit("none")).alias("lang"), F.length("text").cast("double").alias("x"))
+    g = d.rollup("lang").agg(F.count("*").alias("n"), round6(F.avg("x")).alias("mean"), F.expr("cast(percentile_disc(0.5) within group (order by x) as bigint)").alias("p50"))
+    return g.withColumn("lang", F.coalesce("lang", F.lit("all")))
 
 
 @query(f"WITH {EV}, {RESULT_OF}, d AS (SELECT session_id, src_id, dst_id FROM ro) SELECT e.session_id, e.kind, count(*) FILTER (WHERE o.src_id IS NULL) AS n_unpaired, count(*) AS n FROM ev e LEFT JOIN d o ON o.session_id = e.session_id AND o.src_id = e.event_id WHERE e.kind = 'tool_result' GROUP BY ALL")

@@ -123,8 +123,9 @@ CONV = ["tbl", "conv_id"]
 
 def message_rows(oh: DataFrame, pi: DataFrame) -> DataFrame:
     """Narrow rows of both recorders, repeats merged by (conversation, row_no), with ``block``."""
-    rows = _recorded(oh, pi).mapInArrow(_parse, _ROW_SQL).dropDuplicates([*CONV, "row_no"])
-    return rows.withColumn("block", F.floor((F.col("row_no") - 1) / BLOCK).cast("long"))
+    rows = _recorded(oh, pi).mapInArrow(_parse, _ROW_SQL).withColumn("block", F.floor((F.col("row_no") - 1) / BLOCK).cast("long"))
+    last = F.lag("row_no").over(Window.partitionBy(*CONV, "block").orderBy("row_no"))  # one sort of blocks, where an aggregate takes two
+    return rows.withColumn("last", last).filter("last is null or last <> row_no").drop("last")
 
 
 def _above(own: list, above: list) -> list:
@@ -146,28 +147,34 @@ def reply_graph(rows: DataFrame) -> DataFrame:
     A parent that is not in the conversation makes the row a root. The time of a row without one is that of the last
     row before it that has one.
     """
+    plain = rows.filter("tbl = 'oh_rows'")  # a recorder without times and parent ids: every row answers the one before
+    plain = _nodes(plain, F.lit(0), F.when(F.col("row_no") > 1, F.col("row_no") - 1))
+    rows = rows.filter("tbl <> 'oh_rows'")
     inside = Window.partitionBy(*CONV, "block").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*CONV).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     carried = rows.groupBy(*CONV, "block").agg(F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("row_no"))).alias("c")).select(*CONV, "block", F.last("c", ignorenulls=True).over(before).alias("carried"))
     timed = rows.withColumn("t", F.last("ts", ignorenulls=True).over(inside)).join(carried, [*CONV, "block"])
     named = rows.filter("rec_id is not null").groupBy(*CONV, F.col("rec_id").alias("parent")).agg(F.min("row_no").alias("up"))
     linked = timed.join(named, [*CONV, "parent"], "left")
-    rank = F.struct(F.coalesce("t", "carried", F.lit(0)).cast("long").alias("t"), F.col("row_no").alias("r"))
     parent = F.when(F.col("parent").isNull(), F.when(F.col("row_no") > 1, F.col("row_no") - 1)).otherwise(F.coalesce("up", F.lit(-1)))
-    return linked.select(
+    return plain.unionByName(_nodes(linked, F.coalesce("t", "carried", F.lit(0)), parent))
+
+
+def _nodes(rows: DataFrame, time: Column, parent: Column) -> DataFrame:
+    rank = F.struct(time.cast("long").alias("t"), F.col("row_no").alias("r"))
+    return rows.select(
         F.concat_ws("\t", *CONV).alias("scope"), F.col("row_no").cast("string").alias("id"), parent.cast("string").alias("parent"), F.col("row_no").alias("pos"),
-        F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("own"), F.array(rank).alias("seg"), rank.alias("rank"),
+        F.lit(1).cast("long").alias("weight"), F.lit(1).cast("long").alias("own"), F.array(rank).alias("seg"),
     )
 
 
 def ordered_messages(rows: DataFrame) -> DataFrame:
     """Messages with their place ``ord`` in the topological order of their conversation; ``on_loop`` marks rows that
     are never free (on or below a loop), which stand last, by time and place."""
-    nodes = reply_graph(rows)
-    placed = solve(nodes.drop("rank"), PLACE, block=BLOCK).select("scope", F.col("pos").alias("row_no"), "state", F.col("seg").alias("key"))
+    placed = solve(reply_graph(rows), PLACE, block=BLOCK).select("scope", F.col("pos").alias("row_no"), "state", F.col("seg").alias("key"))
     split = F.split("scope", "\t", 2)
     placed = placed.select(split[0].alias("tbl"), split[1].alias("conv_id"), "row_no", F.col("state").isin(CYCLE, BELOW).alias("on_loop"), "key")
-    kept = rows.filter("is_message").drop("is_message", "parent", "rec_ts").join(placed, [*CONV, "row_no"])
+    kept = rows.filter("is_message").drop("is_message", "parent").join(placed, [*CONV, "row_no"])
     late = F.array(F.struct(F.coalesce("ts", F.lit(0)).alias("t"), F.col("row_no").alias("r")))
     return ranked(kept.withColumn("key", F.coalesce("key", late)), CONV, ["on_loop", "key", "row_no"], "ord").drop("key")
 
@@ -180,9 +187,12 @@ def conversation_reasons(rows: DataFrame, messages: DataFrame) -> DataFrame:
     turn = F.col("role").isin("user", "assistant", "tool")
     last = F.max(F.when(turn, F.struct("row_no", (F.col("role") == "assistant").alias("a"), "has_content")))
     places = rows.groupBy(*CONV).agg(F.max("row_no").alias("top"), F.min("row_no").alias("low"), F.count("*").alias("n"))
-    previous = messages.select(*CONV, (F.col("ord") + 1).alias("ord"), F.col("role").alias("before"))
-    pair = F.concat_ws(">", "before", "role")
-    ends = messages.join(previous, [*CONV, "ord"], "left").groupBy(*CONV).agg(
+    part = F.floor(F.col("ord") / BLOCK).cast("long")
+    edge = messages.filter((F.col("ord") + 1) % BLOCK == 0).select(*CONV, (part + 1).alias("part"), F.col("role").alias("edge"))
+    inside = F.lag("role").over(Window.partitionBy(*CONV, "part").orderBy("ord"))
+    follow = messages.withColumn("part", part).withColumn("inside", inside).join(edge, [*CONV, "part"], "left")
+    pair = F.concat_ws(">", F.coalesce("inside", F.when(F.col("ord") % BLOCK == 0, F.col("edge"))), "role")
+    ends = follow.groupBy(*CONV).agg(
         F.max((F.col("role") == "user") & F.col("has_content")).alias("asked"), last.alias("last"), F.max("on_loop").alias("loop"),
         F.max(pair.isin("user>user", "tool>user", "assistant>assistant", "user>tool")).alias("disorder"),
     )

@@ -182,14 +182,14 @@ def _fused(docs: DataFrame, q: DataFrame, vectors: DataFrame, asked: DataFrame)
 
 
 def _document_queries(docs: DataFrame) -> DataFrame:
-    """The texts of every twentieth document, by its id, as queries against all documents."""
-    return docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    """The texts of every twentieth document, by its id, as queries against all documents; a text without words asks for nothing."""
+    return docs.filter("doc_id % 20 = 0").filter(F.size(T.terms(F.coalesce("text", F.lit("")))) > 0).select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query()
 def bm25_documents(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    return retrieval.search(docs, _document_queries(docs), "doc_id", 8)
+    return retrieval.search(docs, _document_queries(docs), "doc_id", 8).filter("score > 0")
 
 
 @query()
@@ -197,7 +197,8 @@ def hybrid_documents(spark, sf):
     """Every twentieth document as a query; words and hashed words fused over full lists."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     v = retrieval.embedded(docs, ["doc_id"]).withColumnRenamed("doc_id", "vec_id")
-    return _fused(docs, _document_queries(docs), v, v.filter("vec_id % 20 = 0"))
+    q = _document_queries(docs)
+    return _fused(docs, q, v, v.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"))
 
 
 @query("""SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INT) AS rank FROM

@@ -8,7 +8,7 @@ from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
@@ -248,6 +248,43 @@ def wild_cluster(sums: list[tuple[float, int]]) -> dict[str, float]:
     return {"delta": round(c.delta, 6), "p": round(c.p(), 6)} if c.g > 1 else {"delta": float("nan"), "p": float("nan")}
 
 
+def bootstrap(diffs: DataFrame, cluster: str = "cluster", value: str = "diff", draws: int = DRAWS, seed: int = 1234) -> DataFrame:
+    """One row (delta, low, high, p): the mean difference, the interval of resampled clusters, and the two-sided share of
+    resamples on the other side of 0. With items as clusters it is the plain bootstrap. Sums by cluster go to one task."""
+    sums = diffs.filter(F.col(value).isNotNull()).groupBy(cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count("*").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(batches)
+        if not parts:
+            return
+        d = pd.concat(parts).sort_values(cluster)
+        s, n, rng = d["s"].to_numpy(), d["n"].to_numpy(dtype=float), np.random.default_rng(seed)
+        means = np.empty(draws)
+        for i in range(draws):
+            w = rng.multinomial(len(s), np.full(len(s), 1 / len(s)))  # how often each cluster is drawn
+            means[i] = (w * s).sum() / (w * n).sum()
+        means.sort()
+        p = min(1.0, 2 * min((means <= 0).mean(), (means >= 0).mean()))
+        yield pd.DataFrame([[round(float(s.sum() / n.sum()), 6), round(float(means[int(ALPHA / 2 * draws)]), 6), round(float(means[int((1 - ALPHA / 2) * draws) - 1]), 6), round(float(p), 6)]], columns=["delta", "low", "high", "p"])
+
+    return sums.coalesce(1).mapInPandas(run, "delta double, low double, high double, p double")
+
+
+def arm_summary(reads: DataFrame) -> DataFrame:
+    """Accuracy by arm and the gains between arms on the items that both ran: (n_items, a1, a2, a3, gain_closure, loss_router,
+    loss_closure). ``reads``: item_id, arm (A1 seeds, A2 with closure, A3 given seeds, A4 gold), correct."""
+    p = reads.groupBy("item_id").pivot("arm", ["A1", "A2", "A3", "A4"]).agg(F.max(F.col("correct").cast("int")))
+    gap = lambda x, y: round6(F.avg(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.col(x) - F.col(y))))
+    return p.agg(F.count("*").alias("n_items"), *[round6(F.avg(a)).alias(a.lower()) for a in ("A1", "A2", "A3")], gap("A2", "A1").alias("gain_closure"), gap("A3", "A2").alias("loss_router"), gap("A4", "A3").alias("loss_closure"))
+
+
+def positive_control(scores: DataFrame, truth: DataFrame, m: int = 3) -> DataFrame:
+    """(n, hit, rank): how often the true parent is among the m best, and its mean rank. ``scores``: id, parent, score; ``truth``: id, parent."""
+    r = scores.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), F.desc("parent"))))
+    d = truth.join(r.select("id", "parent", "r"), ["id", "parent"], "left")
+    return d.agg(F.count("*").alias("n"), round6(F.avg(F.coalesce((F.col("r") <= m).cast("int"), F.lit(0)))).alias("hit"), round6(F.avg("r")).alias("rank"))
+
+
 def leak_guard(rows: DataFrame) -> DataFrame:
     """Accuracy of packets that hold carriers alone. ``rows``: correct, n_sources, n_carriers."""
     return rows.filter("n_sources = 0 and n_carriers > 0").agg(round6(F.avg(F.col("correct").cast("int"))).alias("accuracy"), F.count("*").alias("n"))

@@ -65,6 +65,17 @@ def tail(items: DataFrame, keys: list[str], order: list[str], cost: str, budget:
     return d.join(total, keys).withColumn("used", F.col("_total") - F.col("_ahead")).filter(F.col("used") <= budget).drop("_cost", "_ahead", "_total")
 
 
+def tail_cut(items: DataFrame, keys: list[str], order: list[str], text: str, budget: int) -> DataFrame:
+    """Newest texts within ``budget`` bytes a quarter token each; the one that crosses the bound is kept cut to what is left.
+    Adds ``tokens`` and ``kept_chars`` (letters of the beginning that are kept)."""
+    d = items.withColumn("_own", F.ceil(F.octet_length(F.coalesce(text, F.lit(""))) / 4).cast("long"))
+    d = prefix_sums(d, keys, order, "_own", "_ahead")
+    total = d.groupBy(*keys).agg(F.sum("_own").alias("_total"))
+    room = F.lit(budget) - (F.col("_total") - F.col("_ahead") - F.col("_own"))
+    d = d.join(total, keys).withColumn("_room", room).filter((F.col("_room") > 0) & (F.col("_own") > 0))
+    return d.withColumn("tokens", F.least("_own", "_room")).withColumn("kept_chars", F.least(F.length(text), (F.col("_room") * 4).cast("int"))).drop("_own", "_ahead", "_total", "_room")
+
+
 def render(packed: DataFrame, keys: list[str], order: str, text: str = "text", sep: str = "\n\n") -> DataFrame:
     """One packet a key: texts in order, tokens and a digest of the served ids."""
     g = packed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), "session_id", "event_id", F.col(text).alias("t")))).alias("x"), F.sum("cost").cast("long").alias("total_tokens"), F.count("*").alias("n_entries"))

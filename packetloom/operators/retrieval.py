@@ -354,3 +354,43 @@ def identifier_chase(seeds: DataFrame, queries: DataFrame, ev: DataFrame, rounds
             continue
         have = have.unionByName(new)
     return have
+
+
+# --- named routers ----------------------------------------------------------------------------------------------------
+ROUTER_DEFAULTS = {"k": 8, "rrf_k": RRF_K, "dense_dim": DIM, "lexical_weight": 1.0, "dense_weight": 1.0, "pin_first": True}
+
+
+def router_config(**given) -> dict:
+    """Checked settings of a router; unknown names, counts below 1 and negative weights raise."""
+    if unknown := set(given) - set(ROUTER_DEFAULTS):
+        raise ValueError(f"unknown settings {sorted(unknown)}")
+    c = {**ROUTER_DEFAULTS, **given}
+    if any(not isinstance(c[n], int) or isinstance(c[n], bool) or c[n] < 1 for n in ("k", "rrf_k", "dense_dim")) or any(c[n] < 0 for n in ("lexical_weight", "dense_weight")) or not c["lexical_weight"] + c["dense_weight"]:
+        raise ValueError(f"settings out of range: {c}")
+    return c
+
+
+def make_router(name: str, **given):
+    """A function (docs, queries) -> (query_id, key, score, rank) by name: lexical, dense, hybrid.
+
+    docs: the key column ``doc_id`` and text; queries: query_id (of the key's type) and query.
+    """
+    c = router_config(**given)
+
+    def vectors(d: DataFrame, key: str, text: str) -> DataFrame:
+        return embedded(d.select(F.col(key).alias("vec_id"), F.col(text).alias("text")), ["vec_id"], lambda xs: hashing_embed(xs, c["dense_dim"]))
+
+    def lexical(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        return search(docs, queries, "doc_id", k)
+
+    def by_vectors(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        return dense(vectors(docs, "doc_id", "text"), vectors(queries, "query_id", "query"), k).withColumnRenamed("vec_id", "doc_id")
+
+    def hybrid(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        n = docs.count()
+        return fuse([(lexical(docs, queries, n), c["lexical_weight"]), (by_vectors(docs, queries, n), c["dense_weight"])], ["doc_id"], k)
+
+    routers = {"lexical": lexical, "dense": by_vectors, "hybrid": hybrid}
+    if name not in routers:
+        raise ValueError(f"unknown router {name!r}, want one of {sorted(routers)}")
+    return lambda docs, queries: routers[name](docs, queries, c["k"])

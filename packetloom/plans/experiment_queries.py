@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from packetloom.functions import text as T
-from packetloom.operators import events, flatten
+from packetloom.operators import events, flatten, metrics, packing, weave
 from packetloom.operators import experiments as X
 from packetloom.plans.graph_queries import _ev
 from packetloom.plans.reference_queries import DEPENDS, EV
-from packetloom.runtime import cut, first_rows, read_table
+from packetloom.runtime import cut, first_rows, ranked, read_table
 from packetloom.sources import loaders
 from packetloom.sources.normalize import events_of
 
@@ -167,3 +167,92 @@ def dated_messages(spark, sf):
 def demo_events(spark, sf):
     """The session of fourteen events that comes with the package."""
     return loaders.demo_session(spark).drop("received_at", "meta")
+
+
+# --- woven contexts ---------------------------------------------------------------------------------------------------
+_STEPS = rf"""r AS (SELECT DISTINCT trajectory_id, row_no, id, lower(trim(role)) AS role, content, len(tool_calls) AS n_calls, tool_calls[1].function.name AS fn, tool_calls[1].function.arguments AS args FROM oh_rows),
+ q AS (SELECT *, lead(role) OVER w AS next_role, lead(content) OVER w AS next_content FROM r WINDOW w AS (PARTITION BY trajectory_id ORDER BY row_no)),
+ st AS (SELECT trajectory_id AS session_id, row_number() OVER (PARTITION BY trajectory_id ORDER BY row_no) - 1 AS idx, coalesce(fn, '') || ' ' || coalesce(args, '') AS action, coalesce(next_content, '') AS observation, CASE WHEN coalesce(next_content, '') = '' THEN 'unknown' WHEN regexp_matches(next_content, '{T.FAILURE_LINE}') THEN 'failed' ELSE 'passed' END AS validation
+  FROM q WHERE role IN ('assistant', 'ai', 'model') AND n_calls > 0 AND next_role IN ('tool', 'function')),
+ tm AS (SELECT DISTINCT session_id, idx, unnest(regexp_extract_all(lower(action || ' ' || observation), '[a-z0-9]+')) AS term FROM st), ra AS (SELECT session_id, term FROM tm GROUP BY ALL HAVING count(*) BETWEEN 2 AND 8),
+ sc AS (SELECT a.session_id, a.idx, b.idx AS parent, least(count(*), 10) AS score FROM tm a JOIN ra USING (session_id, term) JOIN tm b ON b.session_id = a.session_id AND b.term = a.term AND b.idx < a.idx GROUP BY ALL),
+ pa AS (SELECT sc.session_id, sc.idx, sc.parent, CAST(row_number() OVER (PARTITION BY sc.session_id, sc.idx ORDER BY score DESC, sc.parent DESC) AS INT) AS rank FROM sc JOIN st ON st.session_id = sc.session_id AND st.idx = sc.parent AND st.validation <> 'failed' QUALIFY rank <= 3)"""
+
+
+def _steps(spark, sf):
+    """Steps of the trajectories: a call, what it showed, and whether that was a failure."""
+    r = first_rows(read_table(spark, sf, "oh_rows"), ["trajectory_id", "row_no"]).select("trajectory_id", "row_no", "role", "content", "tool_calls").withColumn("role", F.lower(F.trim("role")))
+    r = ranked(r, ["trajectory_id"], ["row_no"], "at")
+    nxt = r.select("trajectory_id", (F.col("at") - 1).alias("at"), F.col("content").alias("shown"), F.col("role").alias("next_role"))
+    m = r.join(nxt, ["trajectory_id", "at"]).filter(F.col("role").isin("assistant", "ai", "model") & (F.size("tool_calls") > 0) & F.col("next_role").isin("tool", "function"))
+    f = F.get("tool_calls", F.lit(0))["function"]
+    m = ranked(m, ["trajectory_id"], ["at"], "idx")
+    return cut(m.select(F.col("trajectory_id").alias("session_id"), "idx", F.concat_ws(" ", F.coalesce(f["name"], F.lit("")), F.coalesce(f["arguments"], F.lit(""))).alias("action"), F.coalesce("shown", F.lit("")).alias("observation"), T.validation(F.col("shown")).alias("validation")))
+
+
+def _links(steps):
+    return weave.parents(weave.scored_pairs(steps.select("session_id", "idx", F.concat_ws(" ", "action", "observation").alias("text"))), steps)
+
+
+@query(f"WITH {_STEPS} SELECT session_id, idx, parent, rank FROM pa")
+def step_parents(spark, sf):
+    """The three earlier steps that a step shares most rare terms with."""
+    return _links(_steps(spark, sf))
+
+
+@query()
+def step_ancestry(spark, sf):
+    """Five steps at most that the last step of a trajectory rests on."""
+    s = _steps(spark, sf)
+    return weave.ancestry(_links(s), s.groupBy("session_id").agg(F.max("idx").alias("anchor")))
+
+
+@query(f"""WITH {_STEPS}, la AS (SELECT session_id, max(idx) AS anchor, count(*) AS n FROM st GROUP BY 1), ke AS (SELECT session_id, anchor AS idx FROM la UNION SELECT pa.session_id, parent FROM pa JOIN la ON la.session_id = pa.session_id AND la.anchor = pa.idx),
+ pt AS (SELECT st.*, la.n, 'step ' || st.idx || ' | ' || validation || chr(10) || 'action: ' || action || chr(10) || 'observation: ' || CASE WHEN ke.idx IS NOT NULL OR n <= 5 THEN observation ELSE '[observation omitted]' END AS p, ke.idx IS NOT NULL OR n <= 5 AS whole FROM st JOIN la USING (session_id) LEFT JOIN ke ON ke.session_id = st.session_id AND ke.idx = st.idx)
+ SELECT session_id, md5(string_agg(p, chr(10) || chr(10) ORDER BY idx)) AS digest, count(*) FILTER (WHERE whole) AS n_full FROM pt GROUP BY 1""")
+def woven_contexts(spark, sf):
+    """Trajectories with the last step and its parents in full, the other observations left out."""
+    s = _steps(spark, sf)
+    last = s.groupBy("session_id").agg(F.max("idx").alias("idx"))
+    kept = last.unionByName(_links(s).join(last, ["session_id", "idx"]).select("session_id", F.col("parent").alias("idx")))
+    return weave.woven(weave.engaged(s, s.select("session_id", F.lit("tool_call").alias("kind"))), kept).select("session_id", F.md5("context").alias("digest"), "n_full")
+
+
+@query(f"WITH {_STEPS}, rk AS (SELECT session_id, idx, parent, row_number() OVER (PARTITION BY session_id, idx ORDER BY score DESC, parent DESC) AS r FROM sc), tr AS (SELECT session_id, idx, idx - 1 AS parent FROM st WHERE idx > 0) SELECT count(*) AS n, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit, round(avg(r), 6) AS rank FROM tr LEFT JOIN rk USING (session_id, idx, parent)")
+def positive_control(spark, sf):
+    """How often the step before is among a step's three best."""
+    s = _steps(spark, sf)
+    pairs = weave.scored_pairs(s.select("session_id", "idx", F.concat_ws(" ", "action", "observation").alias("text")))
+    key = F.concat_ws(":", "session_id", "idx").alias("id")
+    return metrics.positive_control(pairs.select(key, "parent", "score"), s.filter("idx > 0").select(key, (F.col("idx") - 1).alias("parent")))
+
+
+@query("WITH r AS (SELECT doc_id AS item_id, ['A1', 'A2', 'A3', 'A4'][doc_id % 4 + 1] AS arm, length(coalesce(text, '')) % 2 AS c FROM documents UNION ALL SELECT doc_id, ['A2', 'A3', 'A4', 'A1'][doc_id % 4 + 1], length(coalesce(text, '')) % 3 // 2 FROM documents), p AS (SELECT item_id, max(c) FILTER (WHERE arm = 'A1') AS a1, max(c) FILTER (WHERE arm = 'A2') AS a2, max(c) FILTER (WHERE arm = 'A3') AS a3, max(c) FILTER (WHERE arm = 'A4') AS a4 FROM r GROUP BY 1) SELECT count(*) AS n_items, round(avg(a1), 6) AS a1, round(avg(a2), 6) AS a2, round(avg(a3), 6) AS a3, round(avg(a2 - a1), 6) AS gain_closure, round(avg(a3 - a2), 6) AS loss_router, round(avg(a4 - a3), 6) AS loss_closure FROM p")
+def arm_summary(spark, sf):
+    """Accuracy by arm and gains on the items that two arms ran."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    arm = lambda *names: F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 4 + 1).cast("int"))
+    a = d.select(F.col("doc_id").alias("item_id"), arm("A1", "A2", "A3", "A4").alias("arm"), (F.col("n") % 2 == 1).alias("correct"))
+    b = d.select(F.col("doc_id").alias("item_id"), arm("A2", "A3", "A4", "A1").alias("arm"), (F.col("n") % 3 == 2).alias("correct"))
+    return metrics.arm_summary(a.unionByName(b))
+
+
+@query()
+def cluster_bootstrap(spark, sf):
+    """Resampled languages for the difference of documents."""
+    d = read_table(spark, sf, "documents").filter("text is not null and n_chars is not null")
+    return metrics.bootstrap(d.select(F.coalesce(F.lower("lang"), F.lit("none")).alias("cluster"), (F.col("n_chars") % 3 - F.length("text") % 2).alias("diff")))
+
+
+@query(f"WITH {EV}, u AS (SELECT session_id, event_id, pos, text, (strlen(coalesce(text, '')) + 3) // 4 AS own FROM ev WHERE kind = 'user'), s AS (SELECT *, 100 - (sum(own) OVER (PARTITION BY session_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING) - own) AS room FROM u) SELECT session_id, event_id, CAST(least(own, room) AS BIGINT) AS tokens, CAST(least(length(text), room * 4) AS INT) AS kept_chars FROM s WHERE room > 0 AND own > 0")
+def newest_messages_cut(spark, sf):
+    """The newest messages of users in 100 tokens of bytes, the last one cut."""
+    u = _ev(spark, sf).filter("kind = 'user'").select("session_id", "event_id", "pos", "text")
+    return packing.tail_cut(u, ["session_id"], ["pos"], "text", 100).select("session_id", "event_id", "tokens", "kept_chars")
+
+
+@query(f"WITH {EV} SELECT session_id, CAST(sum(cost) AS BIGINT) AS cost, sum(cost) <= 2048 AS fits FROM ev WHERE kind IN ('decision', 'state') GROUP BY 1")
+def gold_fits(spark, sf):
+    """Whether what an item must rest on fits the budget at all."""
+    ev = _ev(spark, sf).filter("kind in ('decision', 'state')").withColumn("cost", F.coalesce(T.tokens_floor(F.col("text")), F.lit(0)))
+    return ev.groupBy("session_id").agg(F.sum("cost").cast("long").alias("cost")).withColumn("fits", F.col("cost") <= 2048)

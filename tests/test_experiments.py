@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import events, experiments, metrics
+from packetloom.operators import events, experiments, metrics, retrieval, weave
 from packetloom.sources import loaders
 
 
@@ -96,3 +96,48 @@ def test_statistics_for_any_number_of_clusters():
     assert wide.p() < 0.01 or wide.se == 0
     assert metrics.Clusters([0, 0], [1, 1]).p() == 1.0
     assert abs(metrics.mcnemar_p(3, 10) - 0.092285) < 1e-6 and 0 < metrics.mcnemar_p(500_000, 501_000) < 1
+
+
+def test_ancestry_is_breadth_first_and_capped(spark):
+    links = spark.createDataFrame([("s", 9, 7, 1), ("s", 9, 3, 2), ("s", 7, 1, 1), ("s", 7, 2, 2), ("s", 3, 2, 1), ("s", 3, 0, 2)], "session_id string, idx long, parent long, rank int")
+    anchors = spark.createDataFrame([("s", 9)], "session_id string, anchor long")
+    got = {r["idx"]: r["place"] for r in weave.ancestry(links, anchors).collect()}
+    assert got == {9: 0, 7: 1, 3: 2, 1: 3, 2: 4}
+    assert {r["idx"] for r in weave.ancestry(links, anchors, 2).collect()} == {9, 7}
+    steps = spark.createDataFrame([("s", i, "passed", f"a{i}", f"o{i}") for i in range(6)] + [("t", 0, None, None, None)], "session_id string, idx long, validation string, action string, observation string")
+    out = {r["session_id"]: (r["context"], r["n_full"]) for r in weave.woven(steps, steps.filter("idx = 5 and session_id = 's'")).collect()}
+    assert out["s"][1] == 1 and out["s"][0].count(weave.PLACEHOLDER) == 5 and out["s"][0].endswith("observation: o5") and out["t"][1] == 1
+    with pytest.raises(ValueError):
+        weave.engaged(steps.filter("session_id = 's'"), spark.createDataFrame([("u", "tool_call")] * 20, "session_id string, kind string"))
+
+
+def test_failed_steps_are_no_parents(spark):
+    steps = spark.createDataFrame([("s", 0, "failed"), ("s", 1, "passed"), ("s", 2, "unknown"), ("s", 3, "passed")], "session_id string, idx long, validation string")
+    scores = spark.createDataFrame([("s", 3, 0, 9), ("s", 3, 1, 5), ("s", 3, 2, 5), ("s", 2, 1, 0)], "session_id string, idx long, parent long, score long")
+    assert [(r["parent"], r["rank"]) for r in weave.parents(scores, steps).orderBy("rank").collect()] == [(2, 1), (1, 2)]
+
+
+def test_routers_by_name(spark):
+    for wrong in ({"k": 0}, {"nothing": 1}, {"lexical_weight": -1.0}, {"k": True}):
+        with pytest.raises(ValueError):
+            retrieval.router_config(**wrong)
+    with pytest.raises(ValueError):
+        retrieval.make_router("other")
+    docs = spark.createDataFrame([(1, "red cat"), (2, "blue dog"), (3, None)], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "a red cat")], "query_id long, query string")
+    for name in ("lexical", "dense", "hybrid"):
+        got = [r["doc_id"] for r in retrieval.make_router(name, k=2)(docs, q).orderBy("rank").collect()]
+        assert got[0] == 1 and len(got) == 2
+    a, b = retrieval.hashing_embed(["red cat red", ""])
+    assert abs(sum(x * x for x in a) - 1) < 1e-9 and not any(b) and a == retrieval.hashing_embed(["RED red cat"])[0] != retrieval.hashing_embed(["red red cat"], seed=1)[0]
+    with pytest.raises(Exception, match="vectors"):
+        retrieval.embedded(docs, ["doc_id"], lambda xs: [[1.0]] * (len(xs) + 1)).collect()
+
+
+def test_identifier_chase_walks_one_hop_a_round(spark):
+    texts = ["apply plan key A9F3B2C1 now", "plan A9F3B2C1 made from record id 77ZX41Q9", "record 77ZX41Q9 holds the port", "nothing here", "A9F3B2C1 again"]
+    ev = spark.createDataFrame([("s", f"e{i}", i, t) for i, t in enumerate(texts)], "session_id string, event_id string, pos long, text string")
+    seeds = spark.createDataFrame([("q", "s", "e0")], "query_id string, session_id string, event_id string")
+    q = spark.createDataFrame([("q", "which port does the plan use")], "query_id string, query string")
+    got = {r["event_id"]: r["round"] for r in retrieval.identifier_chase(seeds, q, ev).collect()}
+    assert got == {"e0": 0, "e1": 1, "e4": 1, "e2": 2}

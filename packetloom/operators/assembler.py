@@ -362,7 +362,7 @@ def packets(q: DataFrame, entries: DataFrame, steps: DataFrame, p: Packing) -> D
     d = d.withColumns({"missing_required": missing, "omitted_optional": F.coalesce("omitted", none), "context": context, "total_tokens": total.cast("long"), "dropped": dropped})
     if p.declare_omissions:
         names = F.array_join(F.slice("missing_required", 1, 8), ", ")
-        note = F.concat(F.lit("[omitted] "), F.size("missing_required"), F.lit(" required record(s) did not fit this budget and are NOT below: "), names, F.when(F.size("missing_required") > 8, ", ...").otherwise(""))
+        note = F.concat(F.lit("[omitted] left out for the budget though required: "), F.size("missing_required"), F.lit(" record(s), "), names, F.when(F.size("missing_required") > 8, ", …").otherwise(""))
         d = d.withColumn("note", note).withColumn("note_cost", T.tokens_packet(F.col("note")).cast("long"))
         fits = (F.size("missing_required") > 0) & (F.col("total_tokens") + F.col("note_cost") <= F.col("budget"))
         d = d.withColumn("context", F.when(fits, F.concat("context", F.when(F.col("context") == "", "").otherwise(p.separator), "note")).otherwise(F.col("context"))).withColumn("total_tokens", F.when(fits, F.col("total_tokens") + F.col("note_cost")).otherwise(F.col("total_tokens")))

@@ -187,9 +187,13 @@ def frozen(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, F.sha1(F.coalesce(F.col(text), F.lit(""))).alias("sha1"))
 
 
+# fixed values: the frame of a prompt with two options
+PROMPT_HEAD, PROMPT_NONE, PROMPT_A, PROMPT_B, PROMPT_END = "Session evidence:\n", "(no evidence provided)", "\nOption A: ", "\nOption B: ", "\nAnswer with the letter only."
+
+
 def tool_choice_prompt(context: Column, question: Column, right: Column, wrong: Column, item: Column) -> Column:
     """A question with two options, the right one on the side that the item's hash says."""
     first = T.side(item)
     a, b = F.when(first, right).otherwise(wrong), F.when(first, wrong).otherwise(right)
-    head = F.concat(F.lit("Session evidence:\n"), F.when(context != "", context).otherwise("(no evidence provided)"))
-    return F.concat(head, F.lit("\n\n"), question, F.lit("\nOption A: "), a, F.lit("\nOption B: "), b, F.lit("\nAnswer with the letter only."))
+    head = F.concat(F.lit(PROMPT_HEAD), F.when(context != "", context).otherwise(PROMPT_NONE))
+    return F.concat(head, F.lit("\n\n"), question, F.lit(PROMPT_A), a, F.lit(PROMPT_B), b, F.lit(PROMPT_END))

@@ -163,8 +163,8 @@ def greedy(rows: list[dict], budget: int, terms: list[str]) -> dict:
 def footer(packed: dict) -> str:
     e, n = packed["entries"], packed["masks"]
     notes = [
-        (packed["more"], "More matching records did not fit the budget."), (any(x["excerpt"] for x in e), "\"excerpt\" records are shortened; the full text is available with expand(line)."),
-        (any(x["changed"] for x in e), "\"changed later\" marks a value that a later step overwrote."), (n, f"{n} credential-like value{'' if n == 1 else 's'} masked as [redacted]."),
+        (packed["more"], "Further matches were too long for the budget."), (any(x["excerpt"] for x in e), "An excerpt is part of a record; expand its line for the rest."),
+        (any(x["changed"] for x in e), "What is marked as changed later was overwritten by a later step."), (n, f"Masked values that look like credentials: {n}."),
     ]
     return " ".join(note for on, note in notes if on)
 
@@ -235,8 +235,8 @@ def packed_records(ranked: DataFrame, recs: DataFrame, queries: DataFrame, head:
     return ordered.mapInArrow(_grouped(columns, pack), _PACKED)
 
 
-RECALL_HEAD = "{n} verbatim record{s} from before the last compaction."
-SESSION_HEAD = "{n} verbatim record{s} from this session."
+RECALL_HEAD = "{n} record{s} from before the context was last compacted, word for word."
+SESSION_HEAD = "{n} record{s} of this session, word for word."
 
 
 def recall(ev: DataFrame, edges: DataFrame, queries: DataFrame, include_recent: bool = False) -> DataFrame:
@@ -255,21 +255,16 @@ def recall(ev: DataFrame, edges: DataFrame, queries: DataFrame, include_recent:
     d = q.join(base, "session_id", "left").join(size, "session_id", "left").join(got, "query_id", "left")
     found = F.coalesce("n_entries", F.lit(0)) > 0
     reason = (
-        F.when(F.col("n_events").isNull(), "This session has no recorded messages yet.").when(F.lit(not include_recent) & (F.col("compactions") == 0), "This session has not been compacted, so all of it is still in your context.")
-        .when(F.col("searched").isNull(), "No records outside your current context.").otherwise("Nothing earlier in this session matches that.")
+        F.when(F.col("n_events").isNull(), "Nothing has been recorded for this session.").when(F.lit(not include_recent) & (F.col("compactions") == 0), "The context still holds the whole session, which was never compacted.")
+        .when(F.col("searched").isNull(), "All records are in the current context.").otherwise("No earlier record matches the question.")
     )
     text = F.when(found, F.col("text")).otherwise(reason)
     return d.select("query_id", found.alias("found"), text.alias("text"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), T.tokens_ceil(text).alias("tokens"), F.coalesce("more", F.lit(False)).alias("incomplete"), F.coalesce("searched", F.lit(0)).alias("searched"), F.coalesce("redacted", F.lit(0)).alias("redacted"), F.coalesce("event_ids", F.array().cast("array<string>")).alias("event_ids"))
 
 
 # --- restore after a compaction -----------------------------------------------------------------------------------
-WORDS_HEAD = (
-    "The user's own words from before the compaction, verbatim. These sentences were picked because they state facts (names, numbers, dates, preferences, decisions, constraints); "
-    "\"…\" marks where a message was shortened. The summary above may have paraphrased them."
-)
-RESTORE_HEAD = (
-    "{n} verbatim record{s} from this session before the compaction, in the order they happened. The summary above may have shortened them. Other records can be looked up with the recall tool."
-)
+WORDS_HEAD = "Said by the user before the context was compacted, word for word, where it states facts, plans or rules (… stands for what was left out). Where the summary differs, this holds."
+RESTORE_HEAD = "{n} record{s} of this session from before the context was compacted, whole and in their order; further ones can be recalled by a question."
 
 
 def user_words(messages: DataFrame, budgets: DataFrame) -> DataFrame:

@@ -74,6 +74,11 @@ def concatenated(lines: DataFrame, group: str, order: list[str], out: str = "glo
     return ranked(lines, [group], order, "_rank").withColumn(out, F.col("_rank") + 1).drop("_rank")
 
 
+# fixed values: how a session's date and the question stand in the prompts
+SESSION_DATE, SESSION_TEXT = "[Chat session on ", "]\n"
+QUESTION_DATE, QUESTION_TEXT = "[Current date: ", "]\nBased on our past conversations, please answer: "
+
+
 def dated_messages(items: DataFrame) -> DataFrame:
     """Messages of question items: (item_id, session_no, message_no, role, content, date).
 
@@ -82,12 +87,12 @@ def dated_messages(items: DataFrame) -> DataFrame:
     """
     s = items.select("item_id", "dates", F.posexplode("sessions").alias("session_no", "s")).select("item_id", "session_no", F.get("dates", F.col("session_no")).alias("date"), F.posexplode("s").alias("message_no", "m"))
     text = F.coalesce("m.content", F.lit(""))
-    return s.select("item_id", "session_no", "message_no", F.when(F.col("m.role") == "user", "user").otherwise("assistant").alias("role"), F.when(F.col("message_no") == 0, F.concat(F.lit("[Chat session on "), "date", F.lit("]\n"), text)).otherwise(text).alias("content"), "date")
+    return s.select("item_id", "session_no", "message_no", F.when(F.col("m.role") == "user", "user").otherwise("assistant").alias("role"), F.when(F.col("message_no") == 0, F.concat(F.lit(SESSION_DATE), "date", F.lit(SESSION_TEXT), text)).otherwise(text).alias("content"), "date")
 
 
 def question_text(items: DataFrame) -> DataFrame:
     """(item_id, content) of items with question and question_date."""
-    return items.select("item_id", F.concat(F.lit("[Current date: "), "question_date", F.lit("]\nBased on our past conversations, please answer: "), "question").alias("content"))
+    return items.select("item_id", F.concat(F.lit(QUESTION_DATE), "question_date", F.lit(QUESTION_TEXT), "question").alias("content"))
 
 
 def edge_table(rows: DataFrame) -> DataFrame:

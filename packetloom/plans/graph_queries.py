@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import text as T
 from packetloom.operators import events, graph
 from packetloom.plans.function_queries import quoted
-from packetloom.plans.reference_queries import DEPENDS, EV, MATERIAL, RESULT_OF
+from packetloom.plans.reference_queries import DEPENDS, EV, MATERIAL, RESULT_OF, SUPER
 from packetloom.runtime import cut, read_table
 
 QUERIES: dict = {}
@@ -65,6 +65,12 @@ def activity_edges(spark, sf):
     return _activity(spark, sf)[1].select(*events.EDGE)
 
 
+@query(f"WITH {EV}, {SUPER}, {AV} SELECT session_id, src_id, dst_id, edge_type, predicate FROM sp UNION ALL SELECT * FROM asp")
+def edges_supersedes(spark, sf):
+    """Writes to the same path, of the recorded sessions and of the activity."""
+    return events.supersedes(_ev(spark, sf)).unionByName(_activity(spark, sf)[1].filter("edge_type = 'SUPERSEDES'"))
+
+
 @query(f"WITH {AV} SELECT session_id, src_id AS event_id, count(*) AS n, string_agg(edge_type || ':' || dst_id, ',' ORDER BY edge_type, dst_id) AS listed FROM ae WHERE edge_type IN ('SUPERSEDES', 'DEPENDS_ON') GROUP BY ALL")
 def graph_parents(spark, sf):
     p = graph.parents(_activity(spark, sf)[1], "SUPERSEDES", "DEPENDS_ON")

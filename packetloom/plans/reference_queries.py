@@ -89,11 +89,6 @@ def edges_temporal(spark, sf):
     return events.temporal(_ev(spark, sf))
 
 
-@query(f"WITH {EV}, {SUPER} SELECT {EDGE_COLUMNS} FROM sp")
-def edges_supersedes(spark, sf):
-    return events.supersedes(_ev(spark, sf))
-
-
 @query(f"WITH {EV}, {MATERIAL} SELECT {EDGE_COLUMNS} FROM mt")
 def edges_materializes(spark, sf):
     return events.materializes(_ev(spark, sf))

@@ -7,6 +7,7 @@ broadcast; each block gives its best k rows a query.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -179,6 +180,233 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     return _blocked(vectors.select(key, F.col(vector).cast("array<double>").alias("v")), q, key, ["v"], _dense_search, k)
 
 
+# --- fusion without full lists ----------------------------------------------------------------------------------------
+
+BLOCK_TERMS = 8_000_000  #: words of the texts of one block, as far as hashing spreads them
+LEAST_BLOCK_ROWS = 8_192  #: smaller blocks are not made only to keep all cores busy
+DENSE_SHARE, DENSE_TERMS = 0.15, 256  #: words that so many of a block's rows have, and so many of them, are held as a matrix
+ASKED_AT_ONCE = 32
+
+
+def blake_slot(word: str) -> int:
+    """The hash of ``hashing_embed``: the lowest bit is the sign, the rest gives the slot."""
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, key=b"0").digest(), "big")
+
+
+class _Block:
+    """Rows of one block, in order of their keys, as an index for both arms; scores are whole millionths."""
+
+    def __init__(self, slot, dim: int):
+        self.slot, self.dim, self.ids, self.slots, self.keys, self.parts, self.n, self.built = slot, dim, {}, {}, [], [], 0, False
+
+    def add(self, keys: pa.Array, texts: pa.Array) -> None:
+        ids, lengths, words = self.ids, np.zeros(len(texts), np.int64), []
+        for i, text in enumerate(texts.to_pylist()):
+            found = _words(text)
+            lengths[i] = len(found)
+            words += [ids.setdefault(w, len(ids)) for w in found]
+        row = np.repeat(np.arange(self.n, self.n + len(texts), dtype=np.int64), lengths)
+        pairs, tf = np.unique((row << 32) + np.array(words, dtype=np.int64), return_counts=True)
+        self.parts.append((pairs, tf.astype(np.int32), lengths))
+        self.keys += keys.to_pylist()
+        self.n += len(texts)
+
+    def build(self, avgdl: float) -> None:
+        pairs, tf, lengths = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.built = [], True
+        row, term = pairs >> 32, pairs & 0xFFFFFFFF
+        hashes = [self.slot(w) for w in self.ids]
+        at = np.array([(h >> 1) % self.dim for h in hashes], dtype=np.int64)
+        sign = np.array([1.0 if h & 1 else -1.0 for h in hashes])
+        v = np.bincount(at[term] * self.n + row, weights=sign[term] * (1.0 + np.log(tf)), minlength=self.dim * self.n).reshape(self.dim, self.n)
+        v /= np.maximum(np.sqrt(np.einsum("ij,ij->j", v, v)), 1e-300)
+        self.vectors = v
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row] / avgdl))
+        order = np.argsort(term, kind="stable")
+        self.rows, self.weights = row[order], weight[order]
+        df = np.bincount(term, minlength=len(self.ids))
+        self.ends = np.cumsum(df)
+        self.starts, self.ends = (self.ends - df).tolist(), self.ends.tolist()
+        often = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        often = often[df[often] >= DENSE_SHARE * self.n]
+        self.column = {int(t): i for i, t in enumerate(often)}
+        self.often = np.zeros((len(often), self.n))
+        for i, t in enumerate(often):
+            self.often[i, self.rows[self.starts[t] : self.ends[t]]] = self.weights[self.starts[t] : self.ends[t]]
+
+    def lexical(self, asked: list[tuple], n: int) -> np.ndarray:
+        """``asked``: words, their counts and numbers of documents, of each query."""
+        q, rare = np.zeros((len(asked), len(self.often))), []
+        for j, (words, counts, dfs) in enumerate(asked):
+            rare.append([])
+            df = np.array(dfs, dtype=np.float64)
+            for w, x in zip(words, (np.log(1 + (n - df + 0.5) / (df + 0.5)) * np.array(counts, dtype=np.float64)).tolist()):
+                t = self.ids.get(w)
+                c = self.column.get(t)
+                if c is not None:
+                    q[j, c] = x
+                elif t is not None:
+                    rare[j].append((t, x))
+        score = q @ self.often
+        for own, words in zip(score, rare):
+            for t, x in words:
+                a, b = self.starts[t], self.ends[t]
+                own[self.rows[a:b]] += self.weights[a:b] * x
+        return _millionths(score)
+
+    def dense(self, asked: list[tuple]) -> np.ndarray:
+        q = np.zeros((len(asked), self.dim))
+        for j, (words, counts, _) in enumerate(asked):
+            for w, c in zip(words, counts):
+                h = self.slots.get(w)
+                if h is None:
+                    h = self.slots[w] = self.slot(w)
+                q[j, (h >> 1) % self.dim] += (1.0 if h & 1 else -1.0) * (1.0 + math.log(c))
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        return _millionths(q @ self.vectors)
+
+
+def _millionths(score: np.ndarray) -> np.ndarray:
+    np.multiply(score, 1e6, out=score)
+    return np.rint(score, out=score)
+
+
+def _before(score: np.ndarray, keys: list, wanted: list[tuple]) -> list[int]:
+    """How many rows stand before each (key, score) in a list by score, ties by key; ``keys`` are in order."""
+    if len(wanted) > 16:
+        ordered = np.sort(score)
+        higher = len(score) - np.searchsorted(ordered, [s for _, s in wanted], "right")
+    else:
+        higher = [np.count_nonzero(score > s) for _, s in wanted]
+    return [int(h) + int(np.count_nonzero(score[: bisect.bisect_left(keys, k)] == s)) for h, (k, s) in zip(higher, wanted)]
+
+
+def _met(docs: DataFrame, queries: DataFrame, key: str, blocks: int, answer, schema: str, avgdl: float, slot, dim: int) -> DataFrame:
+    """Every block of ``docs`` (key, text) meets all ``queries`` (query_id, words and further columns) in one task;
+    ``answer(block, rows)`` gives the columns of ``schema`` for some queries' rows."""
+    kind, more = docs.schema[key].dataType.simpleString(), [f for f in queries.schema if f.name != "query_id"]
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in more]
+    a = docs.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("part"), F.col(key).alias("k"), "text", F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), *empty)
+    b = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("part"), F.lit(None).cast(kind).alias("k"), F.lit(None).cast("string").alias("text"), "query_id", *[f.name for f in more])
+    ordered = a.unionByName(b).repartitionById(blocks, F.col("block")).sortWithinPartitions("part", "k", "query_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _Block(slot, dim)
+        for batch in batches:
+            n = batch.column("part").to_pylist().count(0)  # parts are in order
+            if n:
+                block.add(batch.column("k").slice(0, n), batch.column("text").slice(0, n))
+            if n == batch.num_rows or not block.n:
+                continue
+            if not block.built:
+                block.build(avgdl)
+            for at in range(n, batch.num_rows, ASKED_AT_ONCE):
+                yield answer(block, batch.slice(at, ASKED_AT_ONCE))
+
+    return ordered.mapInArrow(run, schema)
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slot, dim: int = DIM, blocks: int | None = None) -> DataFrame:
+    """(query_id, key, score, rank): the k best documents of each query by the fused ranks of ``search`` and ``dense``
+    over all documents, as ``fuse`` gives them of both full lists, with hashed words as vectors.
+
+    No full list is made. The k first of one list score above 1 / (60 + k), so what stands behind rank ``far`` in both lists
+    cannot be among the k best. Each block gives its ``far`` best of either list with both scores; merged, they are
+    the first ``far`` of both lists. A document that these bounds leave in and whose rank in one list is behind
+    ``far`` is then ranked by counting, in every block, the rows before it. ``docs``: key and text, keys are unique.
+    """
+    kind, qkind = docs.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    docs = docs.select(key, "text")
+    words = T.terms(F.coalesce("text", F.lit("")))
+    each = docs.select(words.alias("terms")).select(F.size("terms").alias("dl"), F.explode(F.concat(F.array_distinct("terms"), F.array(F.lit("")))).alias("word"))
+    known = cut(each.groupBy("word").agg(F.count("*").alias("df"), F.sum("dl").alias("total")))
+    all_ = known.filter("word = ''").first()  # every text has one such row
+    n, total = (all_["df"], all_["total"]) if all_ else (0, 0)
+    avgdl = max(total / max(n, 1), 1e-300)
+    if blocks is None:
+        busy = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_BLOCK_ROWS))
+        blocks = max(1, busy, -(-n // BLOCK_ROWS), -(-total // BLOCK_TERMS))
+    least = 1 / (RRF_K + k) - 2e-6  # scores are rounded to millionths
+    far = min(n, math.ceil(2 / least) - RRF_K) if least > 0 else n
+
+    q = queries.select("query_id", F.explode(T.terms(F.coalesce("query", F.lit("")))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("qtf"))
+    lists = q.join(known, "word", "left").groupBy("query_id").agg(F.collect_list(F.struct("word", "qtf", F.coalesce("df", F.lit(0)).alias("df"))).alias("w"))
+    asked = cut(queries.select("query_id").join(lists.select("query_id", F.col("w.word").alias("words"), F.col("w.qtf").alias("counts"), F.col("w.df").alias("dfs")), "query_id", "left"))
+
+    def of(rows: pa.RecordBatch) -> list[tuple]:
+        return [(w or (), c or (), d or ()) for w, c, d in zip(*(rows.column(x).to_pylist() for x in ("words", "counts", "dfs")))]
+
+    def best(block: _Block, rows: pa.RecordBatch) -> pa.RecordBatch:
+        what, keys, x, y = of(rows), [], [], []
+        for a, b in zip(block.lexical(what, n), block.dense(what)):
+            at = np.union1d(_best(a, far), _best(b, far))
+            keys.append([block.keys[i] for i in at.tolist()])
+            x.append(a[at])
+            y.append(b[at])
+        return pa.RecordBatch.from_arrays([rows.column("query_id"), pa.array(keys, pa.list_(_arrow(kind))), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], names=["query_id", "keys", "lex", "den"])
+
+    def counted(block: _Block, rows: pa.RecordBatch) -> pa.RecordBatch:
+        out: tuple[list, ...] = ([], [], [], [])
+        what, ids = of(rows), rows.column("query_id").to_pylist()
+        for arm, (names, values) in enumerate((("lex_keys", "lex"), ("den_keys", "den"))):
+            wanted = [list(zip(ks, ss)) for ks, ss in zip(rows.column(names).to_pylist(), rows.column(values).to_pylist())]
+            some = [j for j, w in enumerate(wanted) if w]
+            if not some:
+                continue
+            these = [what[j] for j in some]
+            for j, score in zip(some, block.dense(these) if arm else block.lexical(these, n)):
+                for (k_, _), c in zip(wanted[j], _before(score, block.keys, wanted[j])):
+                    for o, v in zip(out, (ids[j], k_, None if arm else c, c if arm else None)):
+                        o.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (_arrow(qkind), _arrow(kind), pa.int64(), pa.int64()))], names=["query_id", key, "a", "b"])
+
+    lists_of = _met(docs, asked, key, blocks, best, f"query_id {qkind}, keys array<{kind}>, lex array<double>, den array<double>", avgdl, slot, dim)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def left_in(query, parts):
+            keys = np.array([x for p in parts for x in p[0]], dtype=None if kind != "string" else object)
+            lex, den = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            order = np.unique(keys, return_inverse=True)[1]
+            rank = np.full((2, len(keys)), -1)
+            for r, s in zip(rank, (lex, den)):
+                first = np.lexsort((order, -s))[:far]
+                r[first] = np.arange(len(first))
+            low, high = ((1 / (RRF_K + 1 + np.where(rank < 0, rest, rank))).sum(axis=0) for rest in (n, far))
+            at = np.flatnonzero(high >= (np.sort(low)[-k] if len(low) >= k else 0) - 2e-6)
+            return [(query, x, lex[i], den[i], *(None if r[i] < 0 else int(r[i]) for r in rank)) for i, x in zip(at, keys[at].tolist())]
+
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*out), (_arrow(qkind), _arrow(kind), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=["query_id", key, "lex", "den", "a", "b"])
+
+        query, parts, out = None, [], []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                cols = [batch.column(c).slice(at, 64) for c in ("query_id", "keys", "lex", "den")]
+                for q_, ks, x, y in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2].to_pylist(), cols[3].to_pylist()):
+                    if parts and q_ != query:
+                        out += left_in(query, parts)
+                        parts = []
+                    query = q_
+                    parts.append((ks, x, y))
+                if len(out) > 1000:
+                    yield batch_of(out)
+                    out = []
+        if parts:
+            out += left_in(query, parts)
+        if out:
+            yield batch_of(out)
+
+    left = cut(spread(lists_of, "query_id").sortWithinPartitions("query_id").mapInArrow(merged, f"query_id {qkind}, `{key}` {kind}, lex double, den double, a bigint, b bigint"))
+    unknown = lambda rank, score: F.collect_list(F.when(F.col(rank).isNull(), F.struct(F.col(key).alias("k"), F.col(score).alias("s"))))
+    open_ = left.filter("a is null or b is null").groupBy("query_id").agg(unknown("a", "lex").alias("x"), unknown("b", "den").alias("y"))
+    open_ = asked.join(open_.select("query_id", F.col("x.k").alias("lex_keys"), F.col("x.s").alias("lex"), F.col("y.k").alias("den_keys"), F.col("y.s").alias("den")), "query_id")
+    counts = _met(docs, open_, key, blocks, counted, f"query_id {qkind}, `{key}` {kind}, a bigint, b bigint", avgdl, slot, dim)
+    counts = counts.groupBy("query_id", key).agg(F.sum("a").alias("more_a"), F.sum("b").alias("more_b"))
+    placed = left.join(counts, ["query_id", key], "left").select("query_id", key, F.coalesce("a", "more_a").alias("a"), F.coalesce("b", "more_b").alias("b"))
+    one = lambda rank: F.lit(1.0) / (RRF_K + F.col(rank) + 1)
+    return top(placed.select("query_id", key, round6(one("a") + one("b")).alias("score")), [key], k)
+
+
 # --- vectors from texts -----------------------------------------------------------------------------------------------
 
 

@@ -191,9 +191,7 @@ def bm25_documents(spark, sf):
 def hybrid_documents(spark, sf):
     """Every twentieth document as a query; words and hashed words fused over full lists."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    v = retrieval.embedded(docs, ["doc_id"]).withColumnRenamed("doc_id", "vec_id")
-    q = _document_queries(docs)
-    return _fused(docs, q, v, v.join(q.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi"))
+    return retrieval.hybrid(docs, _document_queries(docs), "doc_id", 8)
 
 
 @query("""SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS INT) AS rank FROM

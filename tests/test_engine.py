@@ -158,3 +158,30 @@ def test_every_twentieth_document_is_a_query(spark, tmp_path):
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
     assert {r["query_id"] for r in reference_queries.hybrid_documents(spark, str(tmp_path)).collect()} == {0, 20}
+
+
+def test_fused_documents_without_full_lists(spark, tmp_path, monkeypatch):
+    """The same rows as from both full lists, for several block counts, also where a rank in one list is far behind."""
+    import random
+
+    from packetloom.plans import reference_queries
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    texts = {i: " ".join(rng.choice(words[: rng.choice([4, 300])]) for _ in range(rng.randint(1, 40))) for i in range(400)}
+    texts |= {i: " ".join(["w0 w1 w2 w3"] * 3 + rng.choices(words[4:], k=60)) for i in range(101, 220)}  # many words of document 0, among others
+    texts |= {i: " ".join(rng.sample(words[:4], 3)) for i in range(220, 340)}  # nearly document 0
+    texts |= {0: "W0 w1 w2-w3", 20: None, 40: "", 60: "é!", 80: "w1 w1 w2", 81: "w1 w1 w2", 33: "Nothing Shared"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    q = docs.filter("doc_id % 20 = 0").select(docs.doc_id.alias("query_id"), docs.text.alias("query"))
+    v = retrieval.embedded(docs, ["doc_id"]).withColumnRenamed("doc_id", "vec_id")
+    lex, den = retrieval.search(docs, q, "doc_id", 400), retrieval.dense(v, v.filter("vec_id % 20 = 0"), 400).withColumnRenamed("vec_id", "doc_id")
+    want = retrieval.fuse([(lex, 1.0), (den, 1.0)], ["doc_id"], 8).collect()
+    ranks = {(r["query_id"], r["doc_id"]): r["rank"] for r in lex.collect()} | {(r["query_id"], r["doc_id"], "den"): r["rank"] for r in den.collect()}
+    assert len(want) == 20 * 8 and any(max(ranks[r["query_id"], r["doc_id"]], ranks[r["query_id"], r["doc_id"], "den"]) > 100 for r in want)
+    for blocks in (1, 3, 7):
+        assert sorted(retrieval.hybrid(docs, q, "doc_id", 8, blocks=blocks).collect()) == sorted(want), blocks
+    monkeypatch.delattr(retrieval, "_blocked")  # it holds a block's list for every query at once
+    got = reference_queries.hybrid_documents(spark, str(tmp_path)).collect()
+    assert sorted(got) == sorted(r for r in want if r["query_id"] not in (20, 40, 60))

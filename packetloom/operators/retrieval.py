@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,8 +186,8 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
 
 BLOCK_TERMS = 8_000_000  #: words of the texts of one block, as far as hashing spreads them
 LEAST_BLOCK_ROWS = 8_192  #: smaller blocks are not made only to keep all cores busy
-DENSE_SHARE, DENSE_TERMS = 0.15, 256  #: words that so many of a block's rows have, and so many of them, are held as a matrix
-ASKED_AT_ONCE = 32
+DENSE_SHARE, DENSE_TERMS = 0.1, 384  #: words that so many of a block's rows have, and so many of them, are held as a matrix
+ASKED_AT_ONCE = 64
 
 
 def blake_slot(word: str) -> int:
@@ -197,14 +199,15 @@ class _Block:
     """Rows of one block, in order of their keys, as an index for both arms; scores are whole millionths."""
 
     def __init__(self, slot, dim: int):
-        self.slot, self.dim, self.ids, self.slots, self.keys, self.parts, self.n, self.built = slot, dim, {}, {}, [], [], 0, False
+        self.slot, self.dim, self.slots, self.keys, self.parts, self.n, self.built = slot, dim, {}, [], [], 0, False
+        self.ids: dict[str, int] = defaultdict(itertools.count().__next__)
 
     def add(self, keys: pa.Array, texts: pa.Array) -> None:
-        ids, lengths, words = self.ids, np.zeros(len(texts), np.int64), []
+        id_of, lengths, words = self.ids.__getitem__, np.zeros(len(texts), np.int64), []
         for i, text in enumerate(texts.to_pylist()):
             found = _words(text)
             lengths[i] = len(found)
-            words += [ids.setdefault(w, len(ids)) for w in found]
+            words.extend(map(id_of, found))
         row = np.repeat(np.arange(self.n, self.n + len(texts), dtype=np.int64), lengths)
         pairs, tf = np.unique((row << 32) + np.array(words, dtype=np.int64), return_counts=True)
         self.parts.append((pairs, tf.astype(np.int32), lengths))
@@ -311,9 +314,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
     over all documents, as ``fuse`` gives them of both full lists, with hashed words as vectors.
 
     No full list is made. The k first of one list score above 1 / (60 + k), so what stands behind rank ``far`` in both lists
-    cannot be among the k best. Each block gives its ``far`` best of either list with both scores; merged, they are
-    the first ``far`` of both lists. A document that these bounds leave in and whose rank in one list is behind
-    ``far`` is then ranked by counting, in every block, the rows before it. ``docs``: key and text, keys are unique.
+    cannot be among the k best. Each block gives its ``far`` best of either list with both scores. Merged, they are the
+    whole list down to the first block's last row, which is behind rank ``far``, and give least ranks below it. A document
+    that these bounds leave in is, where its rank is not known, ranked by counting the rows before it in every block.
+    ``docs``: key and text, keys are unique.
     """
     kind, qkind = docs.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     docs = docs.select(key, "text")
@@ -331,10 +335,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
 
     q = queries.select("query_id", F.explode(T.terms(F.coalesce("query", F.lit("")))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("qtf"))
     lists = q.join(known, "word", "left").groupBy("query_id").agg(F.collect_list(F.struct("word", "qtf", F.coalesce("df", F.lit(0)).alias("df"))).alias("w"))
-    asked = cut(queries.select("query_id").join(lists.select("query_id", F.col("w.word").alias("words"), F.col("w.qtf").alias("counts"), F.col("w.df").alias("dfs")), "query_id", "left"))
+    asked = cut(queries.select("query_id").join(lists.select("query_id", F.concat_ws(" ", "w.word").alias("words"), F.col("w.qtf").cast("array<int>").alias("counts"), F.col("w.df").cast("array<int>").alias("dfs")), "query_id", "left"))
 
     def of(rows: pa.RecordBatch) -> list[tuple]:
-        return [(w or (), c or (), d or ()) for w, c, d in zip(*(rows.column(x).to_pylist() for x in ("words", "counts", "dfs")))]
+        return [((w or "").split(), c or (), d or ()) for w, c, d in zip(*(rows.column(x).to_pylist() for x in ("words", "counts", "dfs")))]
 
     def best(block: _Block, rows: pa.RecordBatch) -> pa.RecordBatch:
         what, keys, x, y = of(rows), [], [], []
@@ -366,14 +370,15 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
         def left_in(query, parts):
             keys = np.array([x for p in parts for x in p[0]], dtype=None if kind != "string" else object)
             lex, den = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-            order = np.unique(keys, return_inverse=True)[1]
-            rank = np.full((2, len(keys)), -1)
-            for r, s in zip(rank, (lex, den)):
-                first = np.lexsort((order, -s))[:far]
-                r[first] = np.arange(len(first))
-            low, high = ((1 / (RRF_K + 1 + np.where(rank < 0, rest, rank))).sum(axis=0) for rest in (n, far))
+            order, ends = np.unique(keys, return_inverse=True)[1], np.cumsum([len(p[0]) for p in parts]).tolist()
+            rank, known = np.empty((2, len(keys)), dtype=np.int64), np.empty((2, len(keys)), dtype=bool)
+            for r, sure, s in zip(rank, known, (lex, den)):
+                r[np.lexsort((order, -s))] = np.arange(len(keys))
+                lasts = [np.partition(r[a:b], far - 1)[far - 1] for a, b in zip([0, *ends], ends) if b - a >= far]  # a block with fewer rows gives all
+                np.less_equal(r, min(lasts, default=n), out=sure)
+            low, high = ((1 / (RRF_K + 1 + r)).sum(axis=0) for r in (np.where(known, rank, n), rank))
             at = np.flatnonzero(high >= (np.sort(low)[-k] if len(low) >= k else 0) - 2e-6)
-            return [(query, x, lex[i], den[i], *(None if r[i] < 0 else int(r[i]) for r in rank)) for i, x in zip(at, keys[at].tolist())]
+            return [(query, x, lex[i], den[i], *(int(r[i]) if sure[i] else None for r, sure in zip(rank, known))) for i, x in zip(at, keys[at].tolist())]
 
         def batch_of(out):
             return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*out), (_arrow(qkind), _arrow(kind), pa.float64(), pa.float64(), pa.int64(), pa.int64()))], names=["query_id", key, "lex", "den", "a", "b"])

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,7 +186,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
 # --- fusion without full lists ----------------------------------------------------------------------------------------
 
 BLOCK_TERMS = 8_000_000  #: words of the texts of one block, as far as hashing spreads them
-LEAST_BLOCK_ROWS = 8_192  #: smaller blocks are not made only to keep all cores busy
+LEAST_BLOCK_ROWS = 16_384  #: smaller blocks are not made only to keep all cores busy
 DENSE_SHARE, DENSE_TERMS = 0.1, 384  #: words that so many of a block's rows have, and so many of them, are held as a matrix
 ASKED_AT_ONCE = 64
 
@@ -199,7 +200,7 @@ class _Block:
     """Rows of one block, in order of their keys, as an index for both arms; scores are whole millionths."""
 
     def __init__(self, slot, dim: int):
-        self.slot, self.dim, self.slots, self.keys, self.parts, self.n, self.built = slot, dim, {}, [], [], 0, False
+        self.slot, self.dim, self.slots, self.keys, self.parts, self.n, self.built = slot, dim, {}, [], [], 0, False  # slots: of words that no row has
         self.ids: dict[str, int] = defaultdict(itertools.count().__next__)
 
     def add(self, keys: pa.Array, texts: pa.Array) -> None:
@@ -212,15 +213,15 @@ class _Block:
         pairs, tf = np.unique((row << 32) + np.array(words, dtype=np.int64), return_counts=True)
         self.parts.append((pairs, tf.astype(np.int32), lengths))
         self.keys += keys.to_pylist()
+        self.kind = keys.type
         self.n += len(texts)
 
     def build(self, avgdl: float) -> None:
         pairs, tf, lengths = (np.concatenate(x) for x in zip(*self.parts))
-        self.parts, self.built = [], True
+        self.parts, self.built, self.key_array = [], True, pa.array(self.keys, self.kind)
         row, term = pairs >> 32, pairs & 0xFFFFFFFF
-        hashes = [self.slot(w) for w in self.ids]
-        at = np.array([(h >> 1) % self.dim for h in hashes], dtype=np.int64)
-        sign = np.array([1.0 if h & 1 else -1.0 for h in hashes])
+        at, sign = self.hashed(list(self.ids))
+        self.at, self.sign = at.tolist(), sign.tolist()
         v = np.bincount(at[term] * self.n + row, weights=sign[term] * (1.0 + np.log(tf)), minlength=self.dim * self.n).reshape(self.dim, self.n)
         v /= np.maximum(np.sqrt(np.einsum("ij,ij->j", v, v)), 1e-300)
         self.vectors = v
@@ -237,19 +238,21 @@ class _Block:
         for i, t in enumerate(often):
             self.often[i, self.rows[self.starts[t] : self.ends[t]]] = self.weights[self.starts[t] : self.ends[t]]
 
+    def hashed(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = [self.slot(w) for w in words]
+        return np.array([(h >> 1) % self.dim for h in hashes], dtype=np.int64), np.array([1.0 if h & 1 else -1.0 for h in hashes])
+
     def lexical(self, asked: list[tuple], n: int) -> np.ndarray:
         """``asked``: words, their counts and numbers of documents, of each query."""
         q, rare = np.zeros((len(asked), len(self.often))), []
-        for j, (words, counts, dfs) in enumerate(asked):
-            rare.append([])
-            df = np.array(dfs, dtype=np.float64)
-            for w, x in zip(words, (np.log(1 + (n - df + 0.5) / (df + 0.5)) * np.array(counts, dtype=np.float64)).tolist()):
-                t = self.ids.get(w)
-                c = self.column.get(t)
+        id_of, column_of = self.ids.get, self.column.get
+        for own, (words, counts, df) in zip(q, asked):
+            ids, weights = list(map(id_of, words)), (np.log(1 + (n - df + 0.5) / (df + 0.5)) * counts).tolist()
+            columns = list(map(column_of, ids))
+            for c, x in zip(columns, weights):
                 if c is not None:
-                    q[j, c] = x
-                elif t is not None:
-                    rare[j].append((t, x))
+                    own[c] = x
+            rare.append([(t, x) for t, c, x in zip(ids, columns, weights) if c is None and t is not None])
         score = q @ self.often
         for own, words in zip(score, rare):
             for t, x in words:
@@ -259,16 +262,24 @@ class _Block:
 
     def dense(self, asked: list[tuple]) -> np.ndarray:
         q = np.zeros((len(asked), self.dim))
-        for j, (words, counts, _) in enumerate(asked):
-            for w, c in zip(words, counts):
-                h = self.slots.get(w)
-                if h is None:
-                    h = self.slots[w] = self.slot(w)
-                q[j, (h >> 1) % self.dim] += (1.0 if h & 1 else -1.0) * (1.0 + math.log(c))
+        for own, (words, counts, _) in zip(q, asked):
+            ids = list(map(self.ids.get, words))
+            for w in (w for w, t in zip(words, ids) if t is None and w not in self.slots):
+                self.slots[w] = [x.tolist()[0] for x in self.hashed([w])]
+            at = np.array([self.slots[w][0] if t is None else self.at[t] for w, t in zip(words, ids)], dtype=np.int64)
+            sign = np.array([self.slots[w][1] if t is None else self.sign[t] for w, t in zip(words, ids)])
+            own += np.bincount(at, weights=sign * (1.0 + np.log(counts)), minlength=self.dim)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         return _millionths(q @ self.vectors)
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays; null as an empty one."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.array(pc.fill_null(pc.list_value_length(column), 0), dtype=np.int64)).tolist()
+    return [values[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def _millionths(score: np.ndarray) -> np.ndarray:
     np.multiply(score, 1e6, out=score)
     return np.rint(score, out=score)
@@ -328,26 +339,27 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
     n, total = (all_["df"], all_["total"]) if all_ else (0, 0)
     avgdl = max(total / max(n, 1), 1e-300)
     if blocks is None:
-        busy = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_BLOCK_ROWS))
+        busy = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // LEAST_BLOCK_ROWS)
         blocks = max(1, busy, -(-n // BLOCK_ROWS), -(-total // BLOCK_TERMS))
     least = 1 / (RRF_K + k) - 2e-6  # scores are rounded to millionths
     far = min(n, math.ceil(2 / least) - RRF_K) if least > 0 else n
 
     q = queries.select("query_id", F.explode(T.terms(F.coalesce("query", F.lit("")))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("qtf"))
     lists = q.join(known, "word", "left").groupBy("query_id").agg(F.collect_list(F.struct("word", "qtf", F.coalesce("df", F.lit(0)).alias("df"))).alias("w"))
-    asked = cut(queries.select("query_id").join(lists.select("query_id", F.concat_ws(" ", "w.word").alias("words"), F.col("w.qtf").cast("array<int>").alias("counts"), F.col("w.df").cast("array<int>").alias("dfs")), "query_id", "left"))
+    asked = cut(queries.select("query_id").join(lists.select("query_id", F.concat_ws(" ", "w.word").alias("words"), F.col("w.qtf").alias("counts"), F.col("w.df").alias("dfs")), "query_id", "left"))
 
     def of(rows: pa.RecordBatch) -> list[tuple]:
-        return [((w or "").split(), c or (), d or ()) for w, c, d in zip(*(rows.column(x).to_pylist() for x in ("words", "counts", "dfs")))]
+        return [((w or "").split(), c, d) for w, c, d in zip(rows.column("words").to_pylist(), _lists(rows.column("counts")), _lists(rows.column("dfs")))]
 
     def best(block: _Block, rows: pa.RecordBatch) -> pa.RecordBatch:
-        what, keys, x, y = of(rows), [], [], []
+        what, places, x, y = of(rows), [], [], []
         for a, b in zip(block.lexical(what, n), block.dense(what)):
-            at = np.union1d(_best(a, far), _best(b, far))
-            keys.append([block.keys[i] for i in at.tolist()])
+            places.append(at := np.union1d(_best(a, far), _best(b, far)))
             x.append(a[at])
             y.append(b[at])
-        return pa.RecordBatch.from_arrays([rows.column("query_id"), pa.array(keys, pa.list_(_arrow(kind))), pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.list_(pa.float64()))], names=["query_id", "keys", "lex", "den"])
+        ends = pa.array(np.cumsum([0, *map(len, places)]), pa.int32())
+        values = (block.key_array.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(x)), pa.array(np.concatenate(y)))
+        return pa.RecordBatch.from_arrays([rows.column("query_id"), *(pa.ListArray.from_arrays(ends, v) for v in values)], names=["query_id", "keys", "lex", "den"])
 
     def counted(block: _Block, rows: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [])
@@ -368,8 +380,7 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def left_in(query, parts):
-            keys = np.array([x for p in parts for x in p[0]], dtype=None if kind != "string" else object)
-            lex, den = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            keys, lex, den = (np.concatenate([p[i] for p in parts]) for i in range(3))
             order, ends = np.unique(keys, return_inverse=True)[1], np.cumsum([len(p[0]) for p in parts]).tolist()
             rank, known = np.empty((2, len(keys)), dtype=np.int64), np.empty((2, len(keys)), dtype=bool)
             for r, sure, s in zip(rank, known, (lex, den)):
@@ -386,8 +397,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
         query, parts, out = None, [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                cols = [batch.column(c).slice(at, 64) for c in ("query_id", "keys", "lex", "den")]
-                for q_, ks, x, y in zip(cols[0].to_pylist(), cols[1].to_pylist(), cols[2].to_pylist(), cols[3].to_pylist()):
+                some = batch.slice(at, 64)
+                for q_, ks, x, y in zip(some.column("query_id").to_pylist(), *(_lists(some.column(c)) for c in ("keys", "lex", "den"))):
                     if parts and q_ != query:
                         out += left_in(query, parts)
                         parts = []
@@ -403,11 +414,14 @@ def hybrid(docs: DataFrame, queries: DataFrame, key: str, k: int, slot=blake_slo
 
     left = cut(spread(lists_of, "query_id").sortWithinPartitions("query_id").mapInArrow(merged, f"query_id {qkind}, `{key}` {kind}, lex double, den double, a bigint, b bigint"))
     unknown = lambda rank, score: F.collect_list(F.when(F.col(rank).isNull(), F.struct(F.col(key).alias("k"), F.col(score).alias("s"))))
-    open_ = left.filter("a is null or b is null").groupBy("query_id").agg(unknown("a", "lex").alias("x"), unknown("b", "den").alias("y"))
-    open_ = asked.join(open_.select("query_id", F.col("x.k").alias("lex_keys"), F.col("x.s").alias("lex"), F.col("y.k").alias("den_keys"), F.col("y.s").alias("den")), "query_id")
-    counts = _met(docs, open_, key, blocks, counted, f"query_id {qkind}, `{key}` {kind}, a bigint, b bigint", avgdl, slot, dim)
-    counts = counts.groupBy("query_id", key).agg(F.sum("a").alias("more_a"), F.sum("b").alias("more_b"))
-    placed = left.join(counts, ["query_id", key], "left").select("query_id", key, F.coalesce("a", "more_a").alias("a"), F.coalesce("b", "more_b").alias("b"))
+    placed = left
+    open_ = left.filter("a is null or b is null")
+    if not open_.isEmpty():
+        open_ = open_.groupBy("query_id").agg(unknown("a", "lex").alias("x"), unknown("b", "den").alias("y"))
+        open_ = asked.join(open_.select("query_id", F.col("x.k").alias("lex_keys"), F.col("x.s").alias("lex"), F.col("y.k").alias("den_keys"), F.col("y.s").alias("den")), "query_id")
+        counts = _met(docs, open_, key, blocks, counted, f"query_id {qkind}, `{key}` {kind}, a bigint, b bigint", avgdl, slot, dim)
+        counts = counts.groupBy("query_id", key).agg(F.sum("a").alias("more_a"), F.sum("b").alias("more_b"))
+        placed = left.join(counts, ["query_id", key], "left").select("query_id", key, F.coalesce("a", "more_a").alias("a"), F.coalesce("b", "more_b").alias("b"))
     one = lambda rank: F.lit(1.0) / (RRF_K + F.col(rank) + 1)
     return top(placed.select("query_id", key, round6(one("a") + one("b")).alias("score")), [key], k)
 
